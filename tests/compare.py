@@ -56,6 +56,7 @@ if __name__ == "__main__":
         extra={
             "spark.sql.shuffle.partitions": os.environ.get("PARTITIONS", "8"),
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "12g",
         },
     )

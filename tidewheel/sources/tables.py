@@ -37,4 +37,5 @@ def stream(
     reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder}/{name}.parquet")
+    # A pattern, since a plain path must be a folder and a table may be one file.
+    return reader.parquet(f"{folder}/{name}[.]parquet")
