@@ -190,3 +190,17 @@ def test_empty_input(df):
     none = df.where("id < 0")
     assert ordered.running_totals(none, ["key"], ["ts"], axis(df), {"t": "v"}).count() == 0
     assert ordered.ranks(none, [], "ts", ["id"], axis(df)).count() == 0
+
+
+def test_ranks_with_null_and_nan(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), 1.0, 1.0, 2.5, None, -3.0] * 3
+    rows = [(i, v) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "id bigint, v double")
+    frame.createOrReplaceTempView("odd")
+    for descending, direction in ((False, "ASC"), (True, "DESC")):
+        want = spark.sql(
+            f"select id, row_number() over (order by v {direction} nulls first, id) as r,"
+            f" dense_rank() over (order by v {direction} nulls first) as d from odd"
+        )
+        out = ordered.ranks(frame, [], "v", ["id"], F.col("v"), descending, parts=5)
+        assert by_id(out, "row_number", "dense_rank") == by_id(want, "r", "d")

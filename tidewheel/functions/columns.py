@@ -21,11 +21,12 @@ def seconds(df: DataFrame, column: str) -> Column:
     """Exact seconds since 1970 of a timestamp, with or without a time zone.
 
     For a zone-free timestamp the result does not depend on the session's zone.
+    Eighteen digits keep the decimal in a long.
     """
     if isinstance(df.schema[column].dataType, T.TimestampNTZType):
         since = F.col(column) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return since.cast("interval second").cast("decimal(20,6)")
-    return (F.unix_micros(column) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)")
+        return since.cast("interval second").cast("decimal(18,6)")
+    return (F.unix_micros(column) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
 
 
 def span(length: str) -> Column:

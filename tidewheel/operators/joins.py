@@ -1,4 +1,4 @@
-"""Joins on time intervals."""
+"""Joins on time intervals, and broadcasting behind a check of the size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from tidewheel.functions.columns import length_in_seconds, seconds, span
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most that many rows, else as it is.
+
+    For narrow aggregates: Spark's estimate for those is the size of what went
+    in, so on its own it would shuffle the other side. Beyond the bound the
+    join is a sort-merge join, where AQE splits what is skewed.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, length: str
 ) -> DataFrame:

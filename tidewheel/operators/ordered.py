@@ -22,12 +22,13 @@ def running_totals(
     totals: dict[str, str],
     peers: bool = False,
     parts: int | None = None,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """Sums from a key's first row up to each row; ``totals`` maps new to summed column.
 
     With ``peers``, rows equal in ``order`` enter together, as in a RANGE frame.
     """
-    piece = cut(df, keys, axis, parts)
+    piece = cut(df, keys, axis, parts, basis=basis)
     frame = piece.window(*order)
     frame = frame.rangeBetween(*SO_FAR) if peers else frame.rowsBetween(*SO_FAR)
     rows = piece.rows
@@ -56,9 +57,10 @@ def ranks(
 ) -> DataFrame:
     """Adds ``row_number``, ``group_rows`` and, if ``dense``, ``dense_rank`` over ``by``.
 
-    ``ties`` completes the order for ``row_number``. Nulls come first.
+    ``ties`` completes the order for ``row_number``. Nulls come first, and
+    ``axis`` rises with ``by`` whether or not the order is ``descending``.
     """
-    return _ranks(cut(df, keys, -axis if descending else axis, parts), by, ties, descending, dense)
+    return _ranks(cut(df, keys, axis, parts, descending), by, ties, descending, dense)
 
 
 def _ranks(piece: Cut, by: str, ties: list[str], descending: bool, dense: bool) -> DataFrame:
@@ -214,15 +216,14 @@ def trailing_totals(
     where = F.lit(True) if where is None else where
     held = F.struct(*df.columns)
     now = seconds(df, at)
-    later = now + F.lit(length_in_seconds(length)).cast("decimal(20,6)")
-    amounts = {f"_{new}": F.coalesce(F.when(where, c), F.lit(0).cast("int")) for new, c in totals.items()}
+    later = now + F.lit(length_in_seconds(length)).cast("decimal(18,6)")
+    amounts = {f"_{new}": F.coalesce(F.when(where, c), F.lit(0)) for new, c in totals.items()}
 
     def mark(time: Column, gone: bool) -> Column:
-        sign = -1 if gone else 1
         return F.struct(
-            time.cast("decimal(20,6)").alias("_at"),
+            time.cast("decimal(18,6)").alias("_at"),
             F.lit(gone).alias("_gone"),
-            *[(amount * sign).alias(name) for name, amount in amounts.items()],
+            *[(-amount if gone else amount).alias(name) for name, amount in amounts.items()],
         )
 
     # A row at exactly `at - length` still counts, so what leaves at an
@@ -234,7 +235,14 @@ def trailing_totals(
         *keys, F.when(~F.col("_mark._gone"), F.col("_row")).alias("_row"), "_mark.*"
     )
     summed = running_totals(
-        timeline, keys, ["_at", "_gone"], F.col("_at"), {new: f"_{new}" for new in totals}, True, parts
+        timeline,
+        keys,
+        ["_at", "_gone"],
+        F.col("_at"),
+        {new: f"_{new}" for new in totals},
+        peers=True,
+        parts=parts,
+        basis=df.select(*keys, now.alias("_at")),
     )
     return summed.where(~F.col("_gone")).select("_row.*", *totals)
 

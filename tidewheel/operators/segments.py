@@ -90,34 +90,61 @@ def large_keys(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, i
     return known, sum(row["_n"] for row in large), total
 
 
-def cut(df: DataFrame, keys: list[str], axis: Column, parts: int | None = None) -> Cut:
-    """Split the large keys along ``axis``, a number that never falls along the order."""
+def cut(
+    df: DataFrame,
+    keys: list[str],
+    axis: Column,
+    parts: int | None = None,
+    descending: bool = False,
+    basis: DataFrame | None = None,
+) -> Cut:
+    """Split the large keys along ``axis``, a number that never falls along the order.
+
+    For a ``descending`` order it never rises. Nulls come first either way.
+    ``basis``, with the same keys and axis, is measured in place of ``df`` where
+    that is cheaper and gives much the same sizes.
+    """
     parts = max(2, min(parts or parts_of(df), MAX_SEGMENTS))
+    basis = df if basis is None else basis
+    known = None
     if keys:
-        known, in_large, total = large_keys(df, keys, parts)
+        known, in_large, total = large_keys(basis, keys, parts)
         if not in_large:
             return Cut(df, keys, False, max(1, -(-total // parts)))
+    else:
+        in_large = total = basis.count()
+
+    low, high = float("-inf"), float("inf")
+    place = F.nanvl(axis.cast("double"), F.lit(high))
+    place = F.coalesce(-place if descending else place, F.lit(low))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """The rows with their place on the axis, null unless their key is large."""
+        if known is None:
+            return rows.withColumn("_axis", place)
         marks = known.select(
             *[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_large")
         )
         same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-        marked = df.join(F.broadcast(marks), same, "left").drop(*[f"_key_{k}" for k in keys])
-    else:
-        in_large = total = df.count()
-        marked = df.withColumn("_large", F.lit(True))
+        # Fewer than `parts` rows: see large_keys.
+        marked = rows.join(F.broadcast(marks), same, "left")
+        return marked.withColumn("_axis", F.when(F.col("_large"), place)).drop(
+            "_large", *[f"_key_{k}" for k in keys]
+        )
 
-    low, high = float("-inf"), float("inf")
-    marked = marked.withColumn("_axis", F.coalesce(axis.cast("double"), F.lit(low)))
     # The sample only places the cuts; every row is kept, and no result
     # depends on where they are.
-    points = marked.where("_large").select("_axis")
+    points = placed(basis).select("_axis").where("_axis is not null")
     wanted = 2 * SAMPLES_PER_SEGMENT * parts
     if wanted < in_large:
         points = points.sample(wanted / in_large, seed=7)
     steps = [i / parts for i in range(1, parts)]
     inner = set(points.approxQuantile("_axis", steps, 1 / (4 * parts))) - {low, high}
-    splits = [low, *sorted(inner), high] if inner else [low, 0.0, high]
-    placed = Bucketizer(splits=splits, inputCol="_axis", outputCol="_bucket").transform(marked)
-    segment = F.when(F.col("_large"), F.col("_bucket").cast("int") + 1).otherwise(0)
-    rows = placed.withColumn(SEGMENT, segment).drop("_large", "_axis", "_bucket")
+    search = Bucketizer(
+        splits=[low, *sorted(inner), high] if inner else [low, 0.0, high],
+        inputCol="_axis",
+        outputCol="_bucket",
+    )
+    segment = F.coalesce(F.col("_bucket").cast("int") + 1, F.lit(0))
+    rows = search.transform(placed(df)).withColumn(SEGMENT, segment).drop("_axis", "_bucket")
     return Cut(rows, keys, True, max(1, -(-total // parts)))

@@ -24,24 +24,18 @@ SELECT o_custkey, count(*) AS n_orders,
 FROM orders GROUP BY o_custkey
 """)
 def customer_order_profile(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
-    # Two distinct counts would repeat every order; one row per customer,
-    # priority and status carries both.
-    fine = orders.groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(
-        F.count("*").alias("n"),
-        F.min("o_orderdate").alias("first"),
-        F.max("o_orderdate").alias("last"),
-        F.min("o_totalprice").alias("low"),
-        F.max("o_totalprice").alias("high"),
-    )
-    return fine.groupBy("o_custkey").agg(
-        F.sum("n").alias("n_orders"),
-        F.countDistinct("o_orderpriority").alias("n_priorities"),
-        F.countDistinct("o_orderstatus").alias("n_statuses"),
-        F.min("first").alias("first_order"),
-        F.max("last").alias("last_order"),
-        F.min("low").alias("smallest"),
-        F.max("high").alias("largest"),
+    return (
+        table(spark, folder, "orders")
+        .groupBy("o_custkey")
+        .agg(
+            F.count("*").alias("n_orders"),
+            F.countDistinct("o_orderpriority").alias("n_priorities"),
+            F.countDistinct("o_orderstatus").alias("n_statuses"),
+            F.min("o_orderdate").alias("first_order"),
+            F.max("o_orderdate").alias("last_order"),
+            F.min("o_totalprice").alias("smallest"),
+            F.max("o_totalprice").alias("largest"),
+        )
     )
 
 
