@@ -19,6 +19,7 @@ def spark():
         extra={
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),

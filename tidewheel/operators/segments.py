@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Observation, WindowSpec
 from pyspark.sql import Window as W
@@ -83,11 +84,11 @@ def large_keys(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, i
     seen = Observation()
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     ranked = counts.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n"))
-    top = ranked.limit(parts).collect()
+    top = ranked.limit(parts).toArrow()
     total = seen.get["total"] or 0
-    large = [row for row in top if row["_n"] * parts > total]
+    large = top.filter(pc.greater(pc.multiply(top["_n"], parts), total))
     known = df.sparkSession.createDataFrame(large, counts.schema)
-    return known, sum(row["_n"] for row in large), total
+    return known, pc.sum(large["_n"]).as_py() or 0, total
 
 
 def cut(
