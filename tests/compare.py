@@ -24,11 +24,14 @@ def kind(spark_type: str) -> str:
     return KINDS.get(spark_type, spark_type.upper())
 
 
-def compare(df, sql: str, folder: str) -> tuple[int, str | None]:
-    """Rows in the result and what differs, if anything."""
+def compare(df, sql: str, folder: str, files: str = "") -> tuple[int, str | None]:
+    """Rows in the result and what differs, if anything.
+
+    ``files`` is the pattern of the files in a table's folder, if it is one.
+    """
     con = duckdb.connect()
     for name in SCHEMAS:
-        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet{files}'")
     found = con.execute(sql)
     theirs = {c[0]: str(c[1]) for c in found.description}
     rows = found.fetchall()
