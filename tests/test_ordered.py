@@ -186,6 +186,38 @@ def test_asof_join(df, skewed, parts, within):
     assert got == want
 
 
+def test_null_values_are_carried_like_spark_does(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, None if draw.random() < 0.7 else int(draw.integers(0, 9))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "id bigint, v bigint")
+    frame.createOrReplaceTempView("sparse")
+    want = spark.sql(
+        "select id, sum(v) over (order by id) as s, last(v, true) over (order by id) as l,"
+        " lag(v) over (order by id) as p, lead(v) over (order by id) as n from sparse"
+    )
+    place = F.col("id")
+    s = ordered.running_totals(frame, [], ["id"], place, {"s": "v"}, parts=10)
+    assert by_id(s, "s") == by_id(want, "s")
+    last = ordered.last_seen(frame, [], ["id"], place, "v", "l", parts=10)
+    assert by_id(last, "l") == by_id(want, "l")
+    near = ordered.neighbours(frame, [], ["id"], place, ["v"], parts=10)
+    assert by_id(near, "prev_v", "next_v") == by_id(want, "p", "n")
+
+
+def test_types_do_not_depend_on_a_split(df):
+    builds = [
+        lambda parts: ordered.running_totals(df, ["key"], ["ts", "id"], axis(df), {"t": "v"}, parts=parts),
+        lambda parts: ordered.ranks(df, ["key"], "ts", ["id"], axis(df), parts=parts),
+        lambda parts: ordered.neighbours(df, ["key"], ["ts", "id"], axis(df), ["v"], parts),
+        lambda parts: ordered.trailing_rows(
+            df, ["key"], "ts", ["id"], axis(df), 3, {"s": F.sum("v")}, parts
+        ),
+        lambda parts: ordered.trailing_totals(df, ["key"], "ts", "1 hour", {"s": F.col("v")}, parts=parts),
+    ]
+    for build in builds:
+        assert build(2).dtypes == build(40).dtypes
+
+
 def test_empty_input(df):
     none = df.where("id < 0")
     assert ordered.running_totals(none, ["key"], ["ts"], axis(df), {"t": "v"}).count() == 0

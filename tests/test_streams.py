@@ -80,6 +80,15 @@ def test_repeats_are_dropped_across_batches(run):
     assert sorted(r.event_id for r in rows) == [1, 2, 3, 4]
 
 
+def test_an_event_delivered_very_often_comes_once(run):
+    copies = [event(1, "00:10:00")] * 200
+    rows = run(
+        [copies + [event(i, "00:11:00") for i in range(2, 50)], copies, [event(50, "00:12:00")] + copies],
+        lambda events: streams.without_repeats(events.repartition(4), "1 hour"),
+    )
+    assert sorted(r.event_id for r in rows) == list(range(1, 51))
+
+
 def test_join_meets_rows_of_different_batches(run):
     rows = run(
         [

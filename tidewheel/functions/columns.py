@@ -29,6 +29,12 @@ def seconds(df: DataFrame, column: str) -> Column:
     return (F.unix_micros(column) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
 
 
+def slot(df: DataFrame, column: str, length: str) -> Column:
+    """The start, in seconds since 1970, of the ``length``-wide slot a time lies in."""
+    whole = F.floor(seconds(df, column)).cast("bigint")
+    return whole - F.pmod(whole, F.lit(length_in_seconds(length)))
+
+
 def span(length: str) -> Column:
     """A day-time interval such as ``1 hour`` or ``7 days``."""
     return F.expr(f"INTERVAL {length}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import length_in_seconds, seconds, span
+from tidewheel.functions.columns import length_in_seconds, slot, span
 
 
 BROADCAST_ROWS = 1_000_000
@@ -18,7 +18,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     in, so on its own it would shuffle the other side. Beyond the bound the
     join is a sort-merge join, where AQE splits what is skewed.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def interval_join(
@@ -33,10 +33,9 @@ def interval_join(
     pairs are the result; where only their number or sum is wanted,
     ``trailing_totals`` gets it without making them.
     """
-    width = length_in_seconds(length)
-    slot = F.floor(seconds(left, left_at) / width)
-    ours = left.withColumn("_slot", F.explode(F.array(slot - 1, slot)))
-    theirs = right.withColumn("_slot", F.floor(seconds(right, right_at) / width))
+    own = slot(left, left_at, length)
+    ours = left.withColumn("_slot", F.explode(F.array(own - length_in_seconds(length), own)))
+    theirs = right.withColumn("_slot", slot(right, right_at, length))
     met = ours.join(theirs, [*keys, "_slot"])
     near = F.col(right_at).between(F.col(left_at) - span(length), F.col(left_at))
     return met.where(near).drop("_slot")

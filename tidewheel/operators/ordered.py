@@ -31,18 +31,24 @@ def running_totals(
     piece = cut(df, keys, axis, parts, basis=basis)
     frame = piece.window(*order)
     frame = frame.rangeBetween(*SO_FAR) if peers else frame.rowsBetween(*SO_FAR)
+    sums = {new: F.sum(c).over(frame) for new, c in totals.items()}
     rows = piece.rows
     if piece.split:
-        # A carried total has the column's own name, so it is summed like a row.
         summed = sorted(set(totals.values()))
-        sums = piece.summary(*[F.sum(c).alias(c) for c in summed])
+        per_segment = piece.summary(*[F.sum(c).alias(c) for c in summed])
+        kind = {c: per_segment.schema[c].dataType for c in summed}
         ahead = piece.across().rowsBetween(*BEFORE)
-        carry = sums.select(
-            *piece.groups,
-            *[F.sum(c).over(ahead).cast(sums.schema[c].dataType).alias(c) for c in summed],
+        carry = per_segment.select(
+            *piece.groups, *[F.sum(c).over(ahead).alias(f"_ahead_{c}") for c in summed]
         )
         rows = piece.stacked((AHEAD, carry))
-    return piece.own(rows.withColumns({new: F.sum(c).over(frame) for new, c in totals.items()}))
+        for new, c in totals.items():
+            start = F.first(f"_ahead_{c}").over(frame)
+            both = F.coalesce(sums[new] + start, sums[new], start)
+            # Summing sums widens a decimal; the type must not depend on a split.
+            sums[new] = both.cast(kind[c])
+        return piece.own(rows.withColumns(sums)).drop(*[f"_ahead_{c}" for c in summed])
+    return rows.withColumns(sums)
 
 
 def ranks(

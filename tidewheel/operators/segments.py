@@ -4,8 +4,8 @@ A plain Spark window puts all rows of a key into one task. Here the rows per
 key are counted first, in one job with map-side combining. If every key fits
 an average shuffle partition, nothing is cut and the plain window is used.
 Otherwise the rows of the large keys, and only those, are cut into segments of
-about equal depth along the ordering, so that no window group is larger than
-about one average partition. What a segment must know of the others (a total,
+about equal depth along the ordering, several to a partition, so that no window
+group is larger than about one average partition. What a segment must know of the others (a total,
 the last row) comes from a summary with one row per large key and segment, and
 enters the segment as one extra row ahead of, or behind, its own rows. Results
 do not depend on where the cuts fall.
@@ -28,8 +28,10 @@ SEGMENT = "_segment"
 ROLE = "_role"
 AHEAD, OWN, BEHIND = -1, 0, 1
 
+# Segments are hashed to partitions: several to each even out the load.
+SEGMENTS_PER_PART = 4
 # The cuts are held on the driver and searched for every row.
-MAX_SEGMENTS = 20_000
+MAX_SEGMENTS = 50_000
 SAMPLES_PER_SEGMENT = 50
 
 BEFORE = (W.unboundedPreceding, -1)
@@ -106,12 +108,13 @@ def cut(
     that is cheaper and gives much the same sizes.
     """
     parts = max(2, min(parts or parts_of(df), MAX_SEGMENTS))
+    segments = min(SEGMENTS_PER_PART * parts, MAX_SEGMENTS)
     basis = df if basis is None else basis
     known = None
     if keys:
         known, in_large, total = large_keys(basis, keys, parts)
         if not in_large:
-            return Cut(df, keys, False, max(1, -(-total // parts)))
+            return Cut(df, keys, False, max(1, -(-total // segments)))
     else:
         in_large = total = basis.count()
 
@@ -136,11 +139,11 @@ def cut(
     # The sample only places the cuts; every row is kept, and no result
     # depends on where they are.
     points = placed(basis).select("_axis").where("_axis is not null")
-    wanted = 2 * SAMPLES_PER_SEGMENT * parts
+    wanted = 2 * SAMPLES_PER_SEGMENT * segments
     if wanted < in_large:
         points = points.sample(wanted / in_large, seed=7)
-    steps = [i / parts for i in range(1, parts)]
-    inner = set(points.approxQuantile("_axis", steps, 1 / (4 * parts))) - {low, high}
+    steps = [i / segments for i in range(1, segments)]
+    inner = set(points.approxQuantile("_axis", steps, 1 / (4 * segments))) - {low, high}
     search = Bucketizer(
         splits=[low, *sorted(inner), high] if inner else [low, 0.0, high],
         inputCol="_axis",
@@ -148,4 +151,4 @@ def cut(
     )
     segment = F.coalesce(F.col("_bucket").cast("int") + 1, F.lit(0))
     rows = search.transform(placed(df)).withColumn(SEGMENT, segment).drop("_axis", "_bucket")
-    return Cut(rows, keys, True, max(1, -(-total // parts)))
+    return Cut(rows, keys, True, max(1, -(-total // segments)))

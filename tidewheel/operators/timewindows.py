@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import length_in_seconds, seconds, span
+from tidewheel.functions.columns import length_in_seconds, slot, span
 
 
 def tumbling(
@@ -55,8 +55,7 @@ def sessions(
     per slot in use: at most the time covered divided by ``gap``, however many
     rows the key has.
     """
-    slot = F.floor(seconds(df, at) / length_in_seconds(gap)).alias("_slot")
-    slots = df.groupBy(*keys, slot).agg(
+    slots = df.groupBy(*keys, slot(df, at, gap).alias("_slot")).agg(
         F.min(at).alias("session_start"),
         F.max(at).alias("session_end"),
         *[F.sum(c).alias(new) for new, c in totals.items()],

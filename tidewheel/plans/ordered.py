@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import money, seconds
 from tidewheel.operators.ordered import (
+    asof_join,
     last_seen,
     neighbours,
     ranks,
@@ -220,6 +221,36 @@ def last_view_before_purchase(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT p.event_id, p.user_id, p.ts,
+       CASE WHEN e.ts >= p.ts - INTERVAL 12 HOUR THEN e.ts END AS error_ts,
+       CASE WHEN e.ts >= p.ts - INTERVAL 12 HOUR THEN e.value ELSE 0 END AS error_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') e
+  ON p.user_id = e.user_id AND p.ts >= e.ts
+""")
+def recent_error_before_purchase(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    errors = events.where("event_type = 'error'").select(
+        F.col("event_id").alias("error_id"),
+        "user_id",
+        F.col("ts").alias("error_ts"),
+        F.col("value").alias("error_value"),
+    )
+    found = asof_join(
+        purchases,
+        errors,
+        ["user_id"],
+        "ts",
+        "error_ts",
+        ["error_ts", "error_value"],
+        "error_id",
+        within="12 hours",
+    )
+    return found.withColumn("error_value", F.coalesce("error_value", F.lit(0.0)))
+
+
 @query("""
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25

@@ -17,10 +17,12 @@ SETTINGS = {
     # Split a skewed join even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Merge a partition's own sessions before they are shuffled.
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # In streams, merge a task's own sessions before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A batch uploads what it changed rather than its whole state.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -9,8 +9,9 @@ from tidewheel.session import SETTINGS, shared_folder
 
 STREAM_SETTINGS = [
     "spark.sql.session.timeZone",
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition",
     "spark.sql.streaming.stateStore.providerClass",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled",
 ]
 
 
