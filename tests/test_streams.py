@@ -33,17 +33,22 @@ def event(number, time, user=1, kind="view", value=1.0):
     return dict(event_id=number, ts=at(time), user_id=user, event_type=kind, value=value, props="{}")
 
 
+def feed(folder, batches, first=0):
+    """One file, and so one micro-batch, for each list of events."""
+    os.makedirs(f"{folder}/events.parquet", exist_ok=True)
+    for i, batch in enumerate(batches, first):
+        path = f"{folder}/events.parquet/{i:03}.parquet"
+        pq.write_table(pa.Table.from_pylist(batch, schema=SCHEMA), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
 @pytest.fixture
 def run(spark):
     """Feeds each list of events as one micro-batch."""
 
     def go(batches, build):
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        os.mkdir(f"{folder}/events.parquet")
-        for i, batch in enumerate(batches):
-            path = f"{folder}/events.parquet/{i:03}.parquet"
-            pq.write_table(pa.Table.from_pylist(batch, schema=SCHEMA), path)
-            os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+        feed(folder, batches)
         source = stream(stream_session(spark), folder, "events", files_per_batch=1)
         return run_to_files(build(source), "test", spark).collect()
 
@@ -137,3 +142,27 @@ def test_spending_is_kept_across_batches(run):
     )
     got = sorted((r.user_id, r.reached_by, r.spent_cents) for r in rows)
     assert got == [(1, at("05:00:00"), 1250), (2, at("03:00:00"), 1150)]
+
+
+@pytest.mark.parametrize(
+    "build, columns",
+    [
+        (lambda e: streams.closed_sessions(e, "30 minutes", "1 hour"), ["user_id", "session_start", "n_events"]),
+        (lambda e: streams.spending_marks(e, 300, "30 minutes"), ["user_id", "reached_by", "spent_cents"]),
+        (lambda e: streams.without_repeats(e, "1 hour"), ["event_id"]),
+    ],
+)
+def test_a_stopped_stream_goes_on_where_it_was(spark, run, build, columns):
+    batches = [
+        [event(10 * b + i, f"{b:02}:{20 * i:02}:00", user=i % 2, kind="purchase") for i in range(3)]
+        + [event(10 * b, f"{b:02}:00:00", user=0, kind="purchase")]
+        for b in range(6)
+    ]
+    folder, out = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(2))
+    for start, part in ((0, batches[:2]), (2, batches[2:3]), (3, batches[3:])):
+        feed(folder, part, start)
+        source = stream(stream_session(spark), folder, "events", files_per_batch=1)
+        stopped = run_to_files(build(source), "test", spark, out).collect()
+    at_once = run(batches, build)
+    rows = lambda found: sorted(tuple(r[c] for c in columns) for r in found)
+    assert rows(stopped) and rows(stopped) == rows(at_once)

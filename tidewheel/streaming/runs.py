@@ -34,14 +34,19 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn("at", F.col(column).cast("timestamp")).withWatermark("at", delay)
 
 
-def run_to_files(df: DataFrame, name: str, reader: SparkSession) -> DataFrame:
+def run_to_files(
+    df: DataFrame, name: str, reader: SparkSession, folder: str | None = None
+) -> DataFrame:
     """Run over all there is now, writing parquet, and read the files as a batch.
 
+    With the ``folder`` of an earlier run of the same stream it goes on from
+    there, with its state, and reads back what all runs wrote.
+
     The files and the checkpoint lie in the shared folder, so a run that loses
     executors goes on from its last commit, and no row passes the driver.
     Times come back zone-free, as they went in.
     """
-    folder = shared_folder(reader, name)
+    folder = folder or shared_folder(reader, name)
     zone_free = df.select(
         *[
             F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c)
