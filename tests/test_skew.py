@@ -4,13 +4,15 @@ import tempfile
 
 import pytest
 from compare import compare
+from conftest import SF
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel import plans
+from tidewheel.functions.columns import seconds
+from tidewheel.operators import ordered
 from tidewheel.sources.tables import SCHEMAS, table
 
-from conftest import SF
-
 # Table, key that is made frequent, the key value that takes a third of the rows.
 FREQUENT = {
     "lineitem": ("l_orderkey", 7),
@@ -44,6 +46,35 @@ def test_same_rows_with_a_frequent_key(spark, folder, name):
     assert rows > 0
 
 
+def rows_per_task(df, column):
+    """Rows in the fullest task that makes ``column``, and in an average one."""
+    tasks = df.select(column, F.spark_partition_id().alias("task")).groupBy("task")
+    counts = tasks.agg(F.count("*").alias("n"), F.max(F.xxhash64(column)).alias("used"))
+    return counts.where("used is not null").agg(F.max("n"), F.avg("n")).first()
+
+
+def test_a_frequent_key_does_not_fill_one_task(spark):
+    events = table(spark, "/root/testdata/sf0.01", "events").withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(3)).otherwise(F.col("user_id"))
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at, order = seconds(events, "ts"), ["ts", "event_id"]
+        plain = events.withColumn("prev", F.lag("ts").over(W.partitionBy("user_id").orderBy(*order)))
+        most, average = rows_per_task(plain, "prev")
+        assert most > 2.5 * average
+        made = {
+            "prev_ts": ordered.neighbours(events, ["user_id"], order, at, ["ts"]),
+            "n": ordered.trailing_totals(events, ["user_id"], "ts", "1 hour", {"n": F.lit(1)}),
+            "row_number": ordered.ranks(events, [], "ts", ["event_id"], at, dense=False),
+        }
+        for column, df in made.items():
+            most, average = rows_per_task(df, column)
+            assert most < 2.5 * average, column
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture
 def small_thresholds(spark):
     settings = {
