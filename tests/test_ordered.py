@@ -178,7 +178,7 @@ def test_asof_join(df, skewed, parts, within):
     for g in groups(skewed):
         a = g[g.kind == "a"]
         for r in g[g.kind == "b"].itertuples():
-            seen = a[a.ts <= r.ts]
+            seen = a[(a.ts <= r.ts) & (r.key != -1)]  # a null key has no match
             if within:
                 seen = seen[seen.ts >= r.ts - dt.timedelta(minutes=10)]
             last = seen.iloc[-1] if len(seen) else None

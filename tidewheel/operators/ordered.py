@@ -108,13 +108,16 @@ def _ranks(piece: Cut, by: str, ties: list[str], descending: bool, dense: bool)
 
 def tile(buckets: int) -> Column:
     """``ntile`` from the columns that :func:`ranks` adds."""
-    each = F.floor(F.col("group_rows") / buckets)
-    longer = F.col("group_rows") % buckets
+
+    def whole(number: Column, by: Column) -> Column:
+        return ((number - number % by) / by).cast("bigint")
+
+    rows, number = F.col("group_rows"), F.col("row_number")
+    each, longer = whole(rows, F.lit(buckets)), rows % buckets
     in_longer = longer * (each + 1)
-    number = F.col("row_number")
-    return F.when(
-        number <= in_longer, F.floor((number - 1) / (each + 1)) + 1
-    ).otherwise(longer + F.floor((number - in_longer - 1) / F.greatest(each, F.lit(1))) + 1)
+    early = whole(number - 1, each + 1) + 1
+    late = longer + whole(number - in_longer - 1, F.greatest(each, F.lit(1))) + 1
+    return F.when(number <= in_longer, early).otherwise(late)
 
 
 def neighbours(
@@ -267,14 +270,15 @@ def asof_join(
     """Every left row with the right row that is the last at or before its time.
 
     ``columns`` are the right columns to add, null where there is none (or none
-    ``within`` that length); ``tie`` orders right rows of the same time.
+    ``within`` that length); ``tie`` orders right rows of the same time. As in
+    any join, a null key has no match.
     """
     held = F.struct(*left.columns)
     found = F.struct(F.col(right_at).alias("_found_at"), *columns)
     ours = left.select(
         *keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), held.alias("_row")
     )
-    theirs = right.select(
+    theirs = right.dropna(subset=keys).select(
         *keys,
         F.col(right_at).alias("_at"),
         F.lit(0).alias("_side"),
