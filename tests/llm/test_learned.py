@@ -1,0 +1,129 @@
+"""Operators that learn or extract: held-out accuracy, cases by hand, odd rows, the pipeline."""
+import html as markup
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidewheel.llm import classifier, common, extract, pii, rules, simhash
+from tidewheel.llm import queries as q
+
+
+def area(scores, labels):
+    order = np.argsort(scores)
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    good = np.array(labels) == 1
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def labelled(folder):
+    return dict(duckdb.sql(f"select doc_id, quality from '{folder}/labels.parquet'").fetchall())
+
+
+def test_classifier_on_rows_held_out(spark, middle):
+    labels = labelled(middle)
+    rows = [r for r in q.QUERIES["op8_quality_classifier"](spark, middle).collect() if r.held_out and r.doc_id in labels]
+    assert area([r.score for r in rows], [labels[r.doc_id] for r in rows]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    again = {r.doc_id: r.score for r in q.QUERIES["op8_quality_classifier"](spark, middle).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in rows)
+
+
+def test_rules_separate_bad_from_good(spark, middle):
+    labels = labelled(middle)
+    rows = [r for r in q.QUERIES["op5_quality_rules"](spark, middle).collect()]
+    known = [r for r in rows if r.doc_id in labels]
+    assert area([r.probability for r in known], [labels[r.doc_id] for r in known]) > 0.97
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in rows)
+    assert not any(r.kept and r.base_failed for r in rows)
+
+
+def test_rules_generalise(spark, middle):
+    docs, labels = common.table(spark, middle, "documents"), common.table(spark, middle, "labels")
+    model = rules.fit(docs, labels.where("doc_id % 3 != 0"))
+    rows = rules.judge(docs.where("doc_id % 3 = 0").join(labels, "doc_id"), model).collect()
+    assert area([r.probability for r in rows], [r.quality for r in rows]) > 0.95
+
+
+def test_without_labels(spark, odd, middle):
+    none = common.table(spark, middle, "labels").where("false")
+    assert {r.probability for r in rules.judge(odd.drop("kept"), rules.fit(odd, none)).collect()} == {1.0}
+    assert {r.score for r in classifier.score(odd, classifier.fit(odd, none)).collect()} == {0.5}
+
+
+def test_odd_rows_and_empty_tables(spark, odd, middle):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
+    network, model = classifier.fit(odd, labels), rules.fit(odd, labels)
+    for made in (
+        classifier.score(odd, network), rules.judge(odd, model), pii.find(odd), pii.redact(odd),
+        extract.extract(odd, "text", "main"), simhash.fingerprints(odd),
+    ):
+        assert made.count() == odd.count()
+    empty = odd.where("false")
+    for made in (classifier.score(empty, network), rules.judge(empty, model), pii.find(empty), extract.extract(empty, "text", "main")):
+        assert made.count() == 0
+
+
+PAGES = {
+    "<html><body><nav>menu</nav><article><h1>T &amp; U</h1><p>one <b>tw</b>o<br>three<p>x&nbsp;y</article><footer>f</footer>": "T & U one two three x y",
+    "<body><div class='main'><p>long paragraph of text here</p><p>another one</p></div><div class='sidebar'>side</div><form>no</form>": "long paragraph of text here another one",
+    "<article><p>body text that is the article</p><section id='comments'><p>reader says much more than the article does, really</p></section></article>": "body text that is the article",
+    "<article><h1>H</h1><ul><li>first item in list</li><li>second item in list</li><li>third item</li></ul><p>s.</p></article>": "H first item in list second item in list third item s.",
+    "<p>plain": "plain", "no tags at all": "no tags at all", "": "", "<script>x</script>": "", "<div><div>": "",
+    "<body><header>site</header><div><h2>Head</h2><div><p>some words of the text, many of them</p><p>and more of them follow</p></div></div><div class=ad>buy</div>": "Head some words of the text, many of them and more of them follow",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_pages_by_hand(page):
+    assert extract.main_text(page) == PAGES[page]
+
+
+def test_pages_keep_the_whole_article(spark, middle):
+    got = {r.page_id: r for r in q.QUERIES["op6_html_text"](spark, middle).collect()}
+    for key, page in duckdb.sql(f"select page_id, html from '{middle}/pages.parquet'").fetchall():
+        inner = re.sub(r"</?b>", "", re.search(r"(?s)<article>(.*?)</article>", page)[1])
+        text = " ".join(markup.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert got[key].text == text and got[key].n_chars == len(text)
+    assert extract.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_added_spans():
+    field = pii.trained()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(t, field)[1]]
+    assert found("call (017) 555-7713 now") == [("phone", "(017) 555-7713")]
+    assert found('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"') == [("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
+    assert found("no 9807915762804490 raie") == [("card", "9807915762804490")]
+    for clean in ("In 2024 it rose 12.5% to 1,234,567.", "v1.2.3 at 12:30 on 2024-05-06", "see @home, page 17", "x86 and mp3"):
+        assert found(clean) == []
+    assert pii.redacted("a b@c.de z", pii.all_spans("a b@c.de z", field)[1]) == "a <email> z"
+
+
+def test_pipeline_stages(spark, middle, odd):
+    docs = before = common.table(spark, middle, "documents")
+    names = []
+    for name, stage in corpus_pipeline.STAGES:
+        names.append(name)
+        docs = common.saved(stage(spark, before, middle), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == corpus_pipeline.COLUMNS
+        if name == "near_copies":
+            assert docs.count() == docs.select("doc_id").distinct().count() < before.count()
+            assert docs.select("text").distinct().count() == docs.count()
+        if name == "personal_data":
+            assert docs.count() == before.count() and docs.where(F.col("text").contains("@mail")).count() == 0
+            assert docs.where("n_chars != length(text)").count() == 0
+        before = docs
+    assert docs.where("not restored").count() == 0 and docs.count() > 500
+    labels = labelled(middle)
+    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    # At this size the classifier has few rows to learn from.
+    assert len([k for k in kept if labels.get(k) == 0]) <= 2
+    assert len(names) == 5
+    for rows in (odd, odd.where("false")):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = common.saved(stage(spark, rows, middle), "odd")

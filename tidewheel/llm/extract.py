@@ -12,8 +12,9 @@ LCb those of the body; a zero divisor counts as one. The node with the largest s
 its children's densities is the content. The least density on the way from
 it to the body is the threshold: every node that reaches it adds its own
 subtree with the largest sum. An ``article`` or ``main`` that holds a chosen node is
-taken whole, and so is what surrounds a chosen list or table, since parts of an
-article are not left out for being short.
+taken whole, so is what surrounds a chosen list or table, and headings beside a
+chosen node or what holds it are added, since parts of an article are not left out
+for being short.
 
 Character references are decoded, white space becomes single spaces, blocks
 are joined in page order by one space. A null or empty page, or one without
@@ -42,6 +43,7 @@ INLINE = set(
     "small span strike strong sub sup time tt u var wbr img".split()
 )
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 pre blockquote dt dd li figcaption caption address".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 LISTS = set("ul ol dl table tbody thead tfoot tr td th figure blockquote".split())
 UNWANTED = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
@@ -230,6 +232,13 @@ def main_text(html: str) -> str:
             while page.tags[outer] in LISTS and outer != body:
                 outer = page.parents[outer]
         whole.add(outer)
+    # Headings beside what is chosen, or beside what holds it, belong to it.
+    beside = set()
+    for i in whole:
+        while i != body and i != 0:
+            i = page.parents[i]
+            beside.add(i)
+    whole |= {i for i in range(1, n) if page.tags[i] in HEADINGS and page.parents[i] in beside}
     taken = bytearray(n)
     for i in sorted(whole):
         if not taken[i]:
