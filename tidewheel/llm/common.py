@@ -84,7 +84,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which ends its lineage."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`saved` wrote for these; nothing lazy may still read them."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(key: str, by: int) -> Column:

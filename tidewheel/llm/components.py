@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import saved
+from tidewheel.llm.common import discard, saved
 
 
 def _towards_least(edges: DataFrame, onlybelow: bool) -> DataFrame:
@@ -48,8 +48,9 @@ def components(links: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while True:
-        edges = saved(_towards_least(_towards_least(edges, False), True), "stars")
+        old, edges = edges, saved(_towards_least(_towards_least(edges, False), True), "stars")
         now = mark(edges)
+        discard(old)
         if now == before:
             break
         before = now

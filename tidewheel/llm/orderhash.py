@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import append, saved, utf8
+from tidewheel.llm.common import append, discard, saved, utf8
 from tidewheel.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -223,8 +223,8 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
         .distinct(),
         "pairs",
     )
-    links = saved(verified(pairs, texts, similar), "found")
-    whole = components(links.select("a", "b"))
+    first = saved(verified(pairs, texts, similar), "found")
+    whole = components(first.select("a", "b"))
     placed = bucketed.join(whole, "node", "left").select(
         "key", "node", F.coalesce("root", "node").alias("part")
     )
@@ -254,8 +254,11 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
         )
 
     more = cells.groupBy("key", "low", "high").applyInArrow(compare, "a binary, b binary, similarity double")
-    links = saved(links.unionByName(more), "links-found")
-    return links, components(links.select("a", "b"))
+    links = saved(first.unionByName(more), "links-found")
+    whole = components(links.select("a", "b"))
+    # Only the links and the components are read from here on.
+    discard(nodes, bucketed, texts, pairs, first)
+    return links, whole
 
 
 def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, float]]:
