@@ -26,6 +26,8 @@ from tidewheel.operators.ordered import ranks
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Sources and ranges up to so many bytes, with so many per row besides the name, are broadcast.
+SENT_BYTES, ROW_BYTES = 8 << 20, 64
 SPACES = "\t\n\x0b\f\r "
 
 
@@ -115,6 +117,10 @@ def mix(
         wanted, F.col("_source").eqNullSafe(F.col("source"))
     )
     plan = plan.select("_source", "_ranges", "source_size", "target")
+    # What is joined to the rows is measured; only under the bound is it sent to every task.
+    named = F.coalesce(F.length("source"), F.lit(0)) * 4 + ROW_BYTES
+    size = sources.agg(F.sum(named), F.sum(named * ranges)).first()
+    plan = F.broadcast(plan) if (size[0] or 0) <= SENT_BYTES else plan
     head = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn(
         "_range", F.shiftright(head * F.col("_ranges"), 32)
@@ -125,6 +131,7 @@ def mix(
         F.col("_range").alias("_at"),
         (F.sum("_words").over(W.partitionBy("_source").orderBy("_range")) - F.col("_words")).alias("_start"),
     )
+    before = F.broadcast(before) if (size[1] or 0) <= SENT_BYTES else before
     located = placed.join(
         before, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))
     )
