@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.functions.columns import length_in_seconds, seconds, span
 from tidewheel.operators.segments import AHEAD, BEFORE, BEHIND, SO_FAR, Cut, cut
@@ -216,17 +217,33 @@ def trailing_totals(
 ) -> DataFrame:
     """For each row, sums over the key's rows in ``[at - length, at]`` (a RANGE frame).
 
+    As in SQL, a sum over no amounts but nulls is null; where an amount cannot be
+    null, as a literal, the total is a count and starts at 0. Rows with a null key
+    or time are each other's peers; leave them out with ``where`` to compare as a
+    predicate does. Amounts must be exact numbers.
+
     ``where`` limits which rows are summed, so the rows of one kind can look
     back on those of another. Each summed row is added at its own time and
     taken off again once ``length`` has passed, which makes the moving sums
     running ones: the work grows with the rows, not with the pairs of rows
     that lie within ``length`` of each other.
     """
+    kinds = df.select(*[c.alias(new) for new, c in totals.items()]).schema
+    for field in kinds:
+        # What is added is taken off again, which only exact numbers survive.
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            raise ValueError(f"{field.name} must be a whole number or a decimal, not {field.dataType.simpleString()}")
     where = F.lit(True) if where is None else where
     held = F.struct(*df.columns)
     now = seconds(df, at)
     later = now + F.lit(length_in_seconds(length)).cast("decimal(18,6)")
     amounts = {f"_{new}": F.coalesce(F.when(where, c), F.lit(0)) for new, c in totals.items()}
+    # How many amounts are in a sum that may have none.
+    sums = [new for new in totals if kinds[new].nullable]
+    amounts |= {
+        f"_n_{new}": F.when(where & totals[new].isNotNull(), 1).otherwise(0).cast("bigint")
+        for new in sums
+    }
 
     def mark(time: Column, gone: bool) -> Column:
         return F.struct(
@@ -248,12 +265,15 @@ def trailing_totals(
         keys,
         ["_at", "_gone"],
         F.col("_at"),
-        {new: f"_{new}" for new in totals},
+        {name: f"_{name}" for name in (*totals, *(f"n_{new}" for new in sums))},
         peers=True,
         parts=parts,
         basis=df.select(*keys, now.alias("_at")),
     )
-    return summed.where(~F.col("_gone")).select("_row.*", *totals)
+    return summed.where(~F.col("_gone")).select(
+        "_row.*",
+        *[F.when(F.col(f"n_{new}") > 0, F.col(new)).alias(new) if new in sums else new for new in totals],
+    )
 
 
 def asof_join(
@@ -271,14 +291,14 @@ def asof_join(
 
     ``columns`` are the right columns to add, null where there is none (or none
     ``within`` that length); ``tie`` orders right rows of the same time. As in
-    any join, a null key has no match.
+    any join, a null key or time has no match.
     """
     held = F.struct(*left.columns)
     found = F.struct(F.col(right_at).alias("_found_at"), *columns)
     ours = left.select(
         *keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), held.alias("_row")
     )
-    theirs = right.dropna(subset=keys).select(
+    theirs = right.dropna(subset=[*keys, right_at]).select(
         *keys,
         F.col(right_at).alias("_at"),
         F.lit(0).alias("_side"),

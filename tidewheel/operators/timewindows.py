@@ -12,12 +12,21 @@ from tidewheel.functions.columns import length_in_seconds, slot, span
 def tumbling(
     df: DataFrame, at: str, size: str, keys: list[str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Sums per key and window of ``size``."""
-    grouped = df.groupBy(F.window(at, size).alias("_window"), *keys)
-    sums = grouped.agg(*[F.sum(c).alias(new) for new, c in totals.items()])
-    return sums.select(
-        F.col("_window.start").alias("window_start"),
-        F.col("_window.end").alias("window_end"),
+    """Sums per key and window of ``size``; in a batch, rows without a time share a window without bounds."""
+    sums = [F.sum(c).alias(new) for new, c in totals.items()]
+    start, end = F.col("_window.start"), F.col("_window.end")
+    if df.isStreaming:
+        found = df.groupBy(F.window(at, size).alias("_window"), *keys).agg(*sums)
+    else:
+        # Spark leaves rows with a null time out of its windows.
+        kind = df.schema[at].dataType.simpleString()
+        some = F.coalesce(at, F.lit("1970-01-01 00:00:00").cast(kind))
+        rows = df.withColumns({"_time": some, "_known": F.col(at).isNotNull()})
+        found = rows.groupBy(F.window("_time", size).alias("_window"), "_known", *keys).agg(*sums)
+        start, end = F.when(F.col("_known"), start), F.when(F.col("_known"), end)
+    return found.select(
+        start.alias("window_start"),
+        end.alias("window_end"),
         *keys,
         *totals,
     )
@@ -28,7 +37,7 @@ def sliding(
 ) -> DataFrame:
     """Sums per key and window of ``size`` that starts every ``slide``.
 
-    The rows are summed per slide first, and only those sums are repeated for
+    Rows without a time count once, in a window without bounds. The rows are summed per slide first, and only those sums are repeated for
     the windows they belong to, instead of every row.
     """
     panes, rest = divmod(length_in_seconds(size), length_in_seconds(slide))
@@ -36,7 +45,7 @@ def sliding(
         raise ValueError("size must be a multiple of slide")
     sums = tumbling(df, at, slide, keys, totals)
     back = F.explode(F.sequence(F.lit(0), F.lit(panes - 1))).alias("_back")
-    spread = sums.select("*", back).withColumn(
+    spread = sums.select("*", back).where("window_start is not null or _back = 0").withColumn(
         "window_start", F.col("window_start") - F.col("_back") * span(slide)
     )
     out = spread.groupBy("window_start", *keys).agg(*[F.sum(c).alias(c) for c in totals])

@@ -2,8 +2,8 @@
 
 The many-rows side is summed per join key before it is joined wherever the
 query allows: the map-side combine then absorbs a frequent key, and the join
-meets one row per key. Small tables are broadcast by Spark's own size check or
-behind ``broadcast_if_small``, never unchecked.
+meets one row per key. Small tables are broadcast by Spark's own check of their
+bytes, in the plan or at run time, never unchecked.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import money, net_price
-from tidewheel.operators.joins import broadcast_if_small, interval_join
+from tidewheel.operators.joins import interval_join
 from tidewheel.plans.registry import query
 from tidewheel.sources.tables import table
 
@@ -198,7 +198,7 @@ def parts_dearer_than_brand(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         parts.where("p_size >= 25")
-        .join(broadcast_if_small(brand), dear)
+        .join(brand, dear)
         .select("p_partkey", "p_brand", "p_retailprice", "n_parts")
     )
 

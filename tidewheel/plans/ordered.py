@@ -23,11 +23,11 @@ from tidewheel.sources.tables import table
 
 @query("""
 SELECT o_orderkey, o_orderpriority, o_totalprice,
-       CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)
+       CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey)
             AS BIGINT) AS row_number,
-       CAST(dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)
+       CAST(dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS FIRST)
             AS BIGINT) AS dense_rank,
-       CAST(ntile(10) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)
+       CAST(ntile(10) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey)
             AS BIGINT) AS decile
 FROM orders
 """)
@@ -46,9 +46,9 @@ def orders_ranked_by_priority(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
-       CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey)
+       CAST(row_number() OVER (ORDER BY l_extendedprice NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey)
             AS BIGINT) AS position,
-       CAST(ntile(100) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey)
+       CAST(ntile(100) OVER (ORDER BY l_extendedprice NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey)
             AS BIGINT) AS percentile
 FROM lineitem
 """)
@@ -75,7 +75,7 @@ def lines_ranked_overall(spark: SparkSession, folder: str) -> DataFrame:
 SELECT event_id, user_id, ts,
        lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts,
        coalesce(lag(event_type) OVER w, 'none') AS prev_type
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)
 """)
 def events_with_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
@@ -97,7 +97,7 @@ SELECT o_orderkey, o_custkey, o_orderdate,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS spent_so_far,
        CAST(count(*) OVER w AS BIGINT) AS orders_so_far
 FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def customer_running_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +126,7 @@ SELECT o_orderkey, o_custkey, o_orderdate,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS last_three_total,
        max(o_totalprice) OVER w AS last_three_largest
 FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey
              ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
 """)
 def customer_last_three_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +152,7 @@ SELECT event_id, user_id, ts,
        CAST(count(*) OVER w AS BIGINT) AS week_events,
        CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS week_value
 FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts
+WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST
              RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)
 """)
 def trailing_week_by_user(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +185,7 @@ def views_in_hour_before_purchase(spark: SparkSession, folder: str) -> DataFrame
         "ts",
         "1 hour",
         {"views_in_hour": F.lit(1).cast("bigint")},
-        F.col("event_type") == "view",
+        (F.col("event_type") == "view") & F.col("ts").isNotNull() & F.col("user_id").isNotNull(),
     )
     return counted.where("event_type = 'purchase'").drop("event_type")
 
@@ -206,7 +206,10 @@ def last_view_before_purchase(spark: SparkSession, folder: str) -> DataFrame:
             "user_id",
             "ts",
             "event_type",
-            F.when(F.col("event_type") == "view", F.struct("ts", "event_id")).alias("view"),
+            F.when(
+                (F.col("event_type") == "view") & F.col("ts").isNotNull() & F.col("user_id").isNotNull(),
+                F.struct("ts", "event_id"),
+            ).alias("view"),
         )
     )
     seen = last_seen(
@@ -248,7 +251,8 @@ def recent_error_before_purchase(spark: SparkSession, folder: str) -> DataFrame:
         "error_id",
         within="12 hours",
     )
-    return found.withColumn("error_value", F.coalesce("error_value", F.lit(0.0)))
+    value = F.when(F.col("error_ts").isNotNull(), F.col("error_value")).otherwise(F.lit(0.0))
+    return found.withColumn("error_value", value)
 
 
 @query("""

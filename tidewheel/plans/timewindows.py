@@ -37,6 +37,7 @@ SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) - to_hours(back) AS window_star
        event_type, count(*) AS n_events,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
 FROM events CROSS JOIN (SELECT unnest(range(6)) AS back)
+WHERE ts IS NOT NULL OR back = 0
 GROUP BY 1, 2, event_type
 """)
 def six_hour_events_every_hour(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,8 +55,8 @@ def six_hour_events_every_hour(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 WITH marked AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST) AS session FROM marked)
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
 FROM numbered GROUP BY user_id, session

@@ -87,14 +87,16 @@ def spending_mark(cents: int) -> StatefulProcessor:
             spent = self.spent.get()[0] if self.spent.exists() else 0
             if spent >= cents:
                 return
-            for hour in pd.concat(rows).sort_values("reached_by").itertuples():
-                spent += int(hour.spent_cents)
-                if spent >= cents:
-                    yield pd.DataFrame(
-                        {"user_id": [key[0]], "reached_by": [hour.reached_by], "spent_cents": [spent]}
-                    )
-                    break
-            self.spent.update((spent,))
+            hours = pd.concat(rows).sort_values("reached_by")
+            total = spent + hours["spent_cents"].fillna(0).cumsum().to_numpy()
+            reached = (total >= cents).nonzero()[0]
+            last = int(reached[0]) if len(reached) else len(total) - 1
+            if len(reached):
+                at = hours["reached_by"].iloc[last]
+                yield pd.DataFrame(
+                    {"user_id": [key[0]], "reached_by": [at], "spent_cents": [int(total[last])]}
+                )
+            self.spent.update((int(total[last]),))
 
         def close(self) -> None:
             pass

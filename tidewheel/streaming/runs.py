@@ -20,12 +20,7 @@ def stream_session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     for name in STREAM_SETTINGS:
         own.conf.set(name, SETTINGS[name])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        # A state store for every partition opens and commits in each batch;
-        # one machine gains nothing from more of them than it has threads.
-        parts = min(parts, spark.sparkContext.defaultParallelism)
-    own.conf.set("spark.sql.shuffle.partitions", parts)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
 
