@@ -335,7 +335,9 @@ def classes(
     kept: the one with the least key, then the least digest. Rows equal in key and words are
     kept alike; ``repeats`` says how many they are.
     """
-    rows = saved(sketched(docs, key, text, sketches, drawn, keep or []), "sketches")
+    # The text is carried once, whether or not it is to be kept.
+    carried = {c: "_text" if c == text else f"_keep_{c}" for c in keep or []}
+    rows = saved(sketched(docs, key, text, sketches, drawn, [c for c in carried if c != text]), "sketches")
     _, whole = near_links(rows, similar)
     per_key = rows.groupBy("node", "_key").agg(F.count("*").alias("repeats"))
     place = per_key.join(whole, "node", "left").select("node", "_key", "repeats", F.coalesce("root", "node").alias("root"))
@@ -353,5 +355,5 @@ def classes(
     )
     return rows.join(judged, (F.col("node") == F.col("_node")) & F.col("_key").eqNullSafe(F.col("_of"))).select(
         F.col("_key").alias(key), "class_id", "class_rows", "kept", "repeats",
-        *[F.col(f"_keep_{c}").alias(c) for c in keep or []],
+        *[F.col(held).alias(c) for c, held in carried.items()],
     )
