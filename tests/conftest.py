@@ -18,6 +18,8 @@ def spark():
         "local[8]",
         extra={
             "spark.sql.shuffle.partitions": "8",
+            # So few that the small tables have keys to cut.
+            "spark.tidewheel.segmentRows": "150",
             "spark.driver.memory": "8g",
             "spark.sql.maxMetadataStringLength": "4000",
             "spark.ui.enabled": "false",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.functions.columns import length_in_seconds, seconds, span
-from tidewheel.operators.segments import AHEAD, BEFORE, BEHIND, SO_FAR, Cut, cut
+from tidewheel.operators.segments import AHEAD, BEFORE, BEHIND, SEGMENT, SO_FAR, Cut, cut, numbers
 
 
 def running_totals(
@@ -29,7 +29,9 @@ def running_totals(
 
     With ``peers``, rows equal in ``order`` enter together, as in a RANGE frame.
     """
-    piece = cut(df, keys, axis, parts, basis=basis)
+    # Peers enter together, so a cut may not part them.
+    axes = [axis] if peers or basis is not None else [axis, *numbers(df, order[1:])]
+    piece = cut(df, keys, axes, parts, basis=basis)
     frame = piece.window(*order)
     frame = frame.rangeBetween(*SO_FAR) if peers else frame.rowsBetween(*SO_FAR)
     sums = {new: F.sum(c).over(frame) for new, c in totals.items()}
@@ -67,44 +69,59 @@ def ranks(
     ``ties`` completes the order for ``row_number``. Nulls come first, and
     ``axis`` rises with ``by`` whether or not the order is ``descending``.
     """
-    return _ranks(cut(df, keys, axis, parts, descending), by, ties, descending, dense)
+    return _ranks(cut(df, keys, [axis, *numbers(df, ties)], parts, descending), by, ties, descending, dense)
 
 
 def _ranks(piece: Cut, by: str, ties: list[str], descending: bool, dense: bool) -> DataFrame:
     value = F.desc_nulls_first(by) if descending else F.asc_nulls_first(by)
-    order = piece.window(value, *ties)
-    number = F.row_number().over(order)
-    rank = F.dense_rank().over(piece.window(value))
-    size = F.count("*").over(W.partitionBy(*piece.groups))
-    rows = piece.rows
+    rows, group = piece.rows, piece.groups
     if piece.split:
-        # countDistinct skips null, which takes a rank too.
-        values = F.countDistinct(by) + F.max(F.col(by).isNull().cast("int"))
-        sizes = piece.summary(
-            F.count("*").alias("_rows"), *([values.alias("_values")] if dense else [])
-        )
-        ahead = piece.across().rowsBetween(*BEFORE)
-        carry = sizes.select(
-            *piece.groups,
-            *[
-                F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead")
-                for c in sizes.columns
-                if c in ("_rows", "_values")
-            ],
-            F.sum("_rows").over(W.partitionBy(*piece.keys)).alias("_group_rows"),
+        # One column that is never null, by which window, summary and join are all shuffled alike.
+        rows, group = rows.withColumn("_segment_key", F.struct(*piece.groups)), ["_segment_key"]
+    in_group = W.partitionBy(*group)
+    added = {
+        "row_number": F.row_number().over(in_group.orderBy(value, *ties)).cast("bigint"),
+        "group_rows": F.count("*").over(in_group),
+    }
+    if dense:
+        added["dense_rank"] = F.dense_rank().over(in_group.orderBy(value)).cast("bigint")
+    ranked = rows.withColumns(added)
+    if not piece.split:
+        return ranked
+    if dense:
+        # Read from the ranked rows with the order's columns alone, which are shuffled a second time.
+        held = F.struct(by)
+        first, last = F.col("row_number") == 1, F.col("row_number") == F.col("group_rows")
+        sizes = ranked.groupBy("_segment_key").agg(
+            F.max("group_rows").alias("_rows"),
+            F.max("dense_rank").alias("_values"),
+            F.first(F.when(first, held), ignorenulls=True).alias("_first"),
+            F.first(F.when(last, held), ignorenulls=True).alias("_last"),
+            F.max(f"_segment_key.{SEGMENT}").alias("_at"),
+        ).where("_at > 0")
+        sizes = sizes.select("_segment_key", "_rows", "_values", "_first", "_last", "_segment_key.*")
+        # A value that goes on from the segment before has been counted there.
+        again = F.lag("_last").over(piece.across()) == F.col("_first")
+        sizes = sizes.withColumn("_again", F.coalesce(again, F.lit(False)).cast("bigint"))
+    else:
+        sizes = piece.summary(F.count("*").alias("_rows")).withColumn("_segment_key", F.struct(*piece.groups))
+    ahead = piece.across().rowsBetween(*BEFORE)
+    offsets = {
+        "_rows_ahead": F.coalesce(F.sum("_rows").over(ahead), F.lit(0)),
+        "_key_rows": F.sum("_rows").over(W.partitionBy(*piece.keys)),
+    }
+    if dense:
+        offsets["_values_ahead"] = F.coalesce(F.sum("_values").over(ahead), F.lit(0)) - F.sum("_again").over(
+            piece.across().rowsBetween(*SO_FAR)
         )
-        rows = piece.stacked((AHEAD, carry))
-        # The carried row stands first and is counted once: take that off again.
-        carried = order.rowsBetween(*SO_FAR)
-        number += F.coalesce(F.first("_rows_ahead").over(carried) - 1, F.lit(0))
-        size = F.coalesce(F.first("_group_rows").over(carried), size)
-        if dense:
-            rank += F.coalesce(F.first("_values_ahead").over(carried) - 1, F.lit(0))
-    added = {"row_number": number.cast("bigint"), "group_rows": size}
+    out = ranked.join(sizes.withColumns(offsets).select("_segment_key", *offsets), "_segment_key", "left")
+    changed = {
+        "row_number": F.col("row_number") + F.coalesce("_rows_ahead", F.lit(0)),
+        "group_rows": F.coalesce("_key_rows", "group_rows"),
+    }
     if dense:
-        added["dense_rank"] = rank.cast("bigint")
-    out = piece.own(rows.withColumns(added))
-    return out.drop("_rows_ahead", "_values_ahead", "_group_rows")
+        changed["dense_rank"] = F.col("dense_rank") + F.coalesce("_values_ahead", F.lit(0))
+    return out.withColumns(changed).drop(SEGMENT, "_segment_key", *offsets)
 
 
 def tile(buckets: int) -> Column:
@@ -130,7 +147,7 @@ def neighbours(
     parts: int | None = None,
 ) -> DataFrame:
     """Adds ``prev_c`` and ``next_c`` for each column: lag and lead by one row."""
-    piece = cut(df, keys, axis, parts)
+    piece = cut(df, keys, [axis, *numbers(df, order[1:])], parts)
     rows = piece.rows
     if piece.split:
         held, place = F.struct(*columns), F.struct(*order)
@@ -161,7 +178,7 @@ def last_seen(
     parts: int | None = None,
 ) -> DataFrame:
     """Adds the latest non-null ``column`` up to and including each row."""
-    piece = cut(df, keys, axis, parts)
+    piece = cut(df, keys, [axis, *numbers(df, order[1:])], parts)
     rows = piece.rows
     if piece.split:
         place = F.when(F.col(column).isNotNull(), F.struct(*order))
@@ -190,7 +207,7 @@ def trailing_rows(
     A large key is numbered first and then cut every so many rows; the last
     rows of each block are repeated ahead of the next one.
     """
-    piece = cut(df, keys, axis, parts)
+    piece = cut(df, keys, [axis, *numbers(df, ties)], parts)
     frame = (1 - rows, W.currentRow)
     if not piece.split:
         w = W.partitionBy(*keys).orderBy(by, *ties).rowsBetween(*frame)

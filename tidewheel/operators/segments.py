@@ -1,38 +1,47 @@
 """Cutting the rows of large keys into ordered segments.
 
 A plain Spark window puts all rows of a key into one task. Here the rows per
-key are counted first, in one job with map-side combining. If every key fits
-an average shuffle partition, nothing is cut and the plain window is used.
+key are counted first, in one job with map-side combining. A key is large if it
+has more rows than the depth, which the session sets in
+``spark.tidewheel.segmentRows`` (default: ``DEPTH``); it does not depend on the
+number of shuffle partitions. Without a large key the plain window is used.
 Otherwise the rows of the large keys, and only those, are cut into segments of
-about equal depth along the ordering, several to a partition, so that no window
-group is larger than about one average partition. What a segment must know of the others (a total,
+about the depth along the ordering. What a segment must know of the others (a total,
 the last row) comes from a summary with one row per large key and segment, and
 enters the segment as one extra row ahead of, or behind, its own rows. Results
 do not depend on where the cuts fall.
 
-Rows with the same first ordering value always share a segment, so a segment
-can grow with the rows of a single instant.
+The cuts are quantiles of each key's axis. A round makes up to ``FAN`` segments of
+a key or segment; rounds go on while a segment has more than twice the depth, so
+there is no highest number of segments. A value that alone exceeds the depth gets
+a segment of its own, which the next axis cuts further, if there is one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Observation, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewheel.session import shared_folder
 
 SEGMENT = "_segment"
 ROLE = "_role"
 AHEAD, OWN, BEHIND = -1, 0, 1
 
-# Segments are hashed to partitions: several to each even out the load.
-SEGMENTS_PER_PART = 4
-# The cuts are held on the driver and searched for every row.
-MAX_SEGMENTS = 50_000
-SAMPLES_PER_SEGMENT = 50
+DEPTH_CONF = "spark.tidewheel.segmentRows"
+DEPTH = 1_000_000
+# Segments that one round makes of one.
+FAN = 1000
+# Numbers of a round's segments: one below, at and above each cut.
+BASE = 2 * FAN + 1
+# Cuts are searched in two steps, first among every so many.
+STEP = 32
+# Keys, and cuts of all keys, that may pass the driver and be broadcast; more stay tables.
+HELD = 100_000
 
 BEFORE = (W.unboundedPreceding, -1)
 SO_FAR = (W.unboundedPreceding, W.currentRow)
@@ -73,82 +82,161 @@ class Cut:
         return df.where(F.col(ROLE) == OWN).drop(SEGMENT, ROLE) if self.split else df
 
 
-def parts_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def numbers(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The first of ``columns`` that are numbers: further axes for :func:`cut`."""
+    out = []
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, T.NumericType):
+            break
+        out.append(F.col(c))
+    return out
+
+
+def _doubles(df: DataFrame, axis: Column, descending: bool) -> tuple[list[Column], bool]:
+    """The axis as doubles that order as it does, nulls first; and whether only equal values are equal in all.
+
+    A double cannot hold every whole number or decimal, so those are taken in two parts. Nulls and
+    NaN would meet the infinities, so doubles have a first axis that tells them apart.
+    """
+    kind = df.select(axis.alias("_a")).schema["_a"].dataType
+    low, exact, first = F.lit(float("-inf")), True, []
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        nan, usual = (1.0, 2.0) if descending else (2.0, 1.0)
+        first = [F.when(axis.isNull(), 0.0).when(F.isnan(axis), nan).otherwise(usual)]
+        places = [F.nanvl(axis.cast("double"), F.lit(0.0))]
+    elif isinstance(kind, T.LongType):
+        places = [F.shiftright(axis, 32), axis.bitwiseAND(F.lit(0xFFFFFFFF))]
+    elif isinstance(kind, T.DecimalType) and max(kind.precision - kind.scale, kind.scale) <= 15:
+        places = [F.floor(axis), axis - F.floor(axis)] if kind.scale else [axis]
+    else:
+        places, exact = [axis], isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType))
+    places = [p.cast("double") for p in places]
+    return [*first, *[F.coalesce(-p if descending else p, low) for p in places]], exact
+
+
+def _pinned(df: DataFrame, weight: str | None = None) -> tuple[DataFrame, int]:
+    """``df``, computed once, ready to be joined; and its rows if they passed the driver, else -1.
+
+    Up to ``HELD`` rows (or the sum of ``weight``) are broadcast; more are written to the shared folder.
+    """
+    held = df.limit(HELD + 1).toArrow() if weight is None else None
+    if weight:
+        total = df.agg(F.sum(weight)).first()[0] or 0
+        held = df.toArrow() if total <= HELD else None
+    if held is not None and held.num_rows <= HELD:
+        return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)), held.num_rows
+    path = shared_folder(df.sparkSession, "cuts")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), -1
+
+
+def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which nulls are equal, with the other columns of ``small``."""
+    named = small.withColumnsRenamed({c: f"_key{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_key{c}")) for c in on]
+    return rows.join(named, same, "left").drop(*[f"_key{c}" for c in on])
 
 
-def large_keys(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, int, int]:
-    """Keys with more than ``1/parts`` of all rows; their rows; all rows.
+def _cuts(points: DataFrame, by: list[str], axes: list[str], depth: float, above: float) -> DataFrame:
+    """For each group with more rows than ``above``: which axis cuts it, and where.
 
-    Whatever the data, there are fewer than ``parts`` such keys, which bounds
-    what reaches the driver and what is broadcast.
+    A cut is a number and whether rows equal to it lie before it.
     """
-    seen = Observation()
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = counts.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n"))
-    top = ranked.limit(parts).toArrow()
-    total = seen.get["total"] or 0
-    large = top.filter(pc.greater(pc.multiply(top["_n"], parts), total))
-    known = df.sparkSession.createDataFrame(large, counts.schema)
-    return known, pc.sum(large["_n"]).as_py() or 0, total
+    steps = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    found = points.groupBy(*by).agg(
+        F.count("*").alias("_n"),
+        *[F.min(a).alias(f"_low{a}") for a in axes],
+        *[F.max(a).alias(f"_high{a}") for a in axes],
+        *[F.percentile_approx(a, steps, 10 * FAN).alias(f"_at{a}") for a in axes],
+    )
+    which, places = F.lit(None).cast("int"), F.array().cast("array<double>")
+    for i, a in reversed(list(enumerate(axes))):
+        varies = F.col(f"_low{a}") < F.col(f"_high{a}")
+        which = F.when(varies, F.lit(i)).otherwise(which)
+        places = F.when(varies, F.col(f"_at{a}")).otherwise(places)
+    stride = F.greatest(F.floor(F.lit(FAN * depth) / F.col("_n")), F.lit(1))
+    found = found.where(F.col("_n") > above).select(*by, which.alias("_which"), places.alias("_places"), stride.alias("_stride"))
+    thin = F.expr("filter(_places, (x, i) -> (i + 1) % _stride = 0)")
+    found = found.where("_which is not null").select(*by, "_which", thin.alias("_thin"))
+    # A place met twice is one value of more than the depth: it is cut off on both sides.
+    cuts = F.expr(
+        "flatten(transform(array_distinct(_thin), x -> if(size(filter(_thin, y -> y = x)) > 1,"
+        " array(struct(x as at, false as with), struct(x as at, true as with)), array(struct(x as at, true as with)))))"
+    )
+    return found.select(*by, "_which", cuts.alias("_cuts")).withColumn("_many", F.size("_cuts"))
+
+
+def _cut_once(rows: DataFrame, cuts: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
+    """The rows with the segment's number refined by one round of cuts."""
+    value = F.lit(None).cast("double")
+    for i, a in enumerate(axes):
+        value = F.when(F.col("_which") == i, F.col(a)).otherwise(value)
+    passed = "(_value > c.at or (_value = c.at and not c.with))"
+    rows = _joined(rows, cuts.drop("_many"), by).withColumn("_value", value)
+    rows = rows.withColumn(
+        "_steps", F.expr(f"size(filter(_heads, c -> {passed}))") if "_heads" in rows.columns else F.lit(0)
+    )
+    inner = F.expr(f"size(filter(slice(_cuts, greatest(_steps - 1, 0) * {STEP} + 1, {STEP}), c -> {passed}))")
+    place = F.when(F.col("_which").isNull(), 0).otherwise(F.greatest(F.col("_steps") - 1, F.lit(0)) * STEP + inner)
+    number = F.col(SEGMENT) * BASE + place
+    return rows.withColumn(SEGMENT, number.cast("bigint")).drop("_which", "_cuts", "_heads", "_value", "_steps")
 
 
 def cut(
     df: DataFrame,
     keys: list[str],
-    axis: Column,
+    axis: Column | list[Column],
     parts: int | None = None,
     descending: bool = False,
     basis: DataFrame | None = None,
+    depth: float | None = None,
 ) -> Cut:
     """Split the large keys along ``axis``, a number that never falls along the order.
 
-    For a ``descending`` order it never rises. Nulls come first either way.
-    ``basis``, with the same keys and axis, is measured in place of ``df`` where
-    that is cheaper and gives much the same sizes.
+    For a ``descending`` order the first axis never rises. Nulls come first either way.
+    Further axes order the rows that are equal in those before. ``parts`` asks for a
+    depth of that share of all rows in place of the session's. ``basis``, with the same
+    keys and axes, is measured in place of ``df`` where that is cheaper and gives much the
+    same sizes. What is measured is computed again for each round, so give saved or cheap input.
     """
-    parts = max(2, min(parts or parts_of(df), MAX_SEGMENTS))
-    segments = min(SEGMENTS_PER_PART * parts, MAX_SEGMENTS)
+    spark = df.sparkSession
     basis = df if basis is None else basis
+    depth = depth or float(spark.conf.get(DEPTH_CONF, str(DEPTH)))
+    if parts or not keys:
+        total = basis.count()
+        depth = max(1.0, total / parts) if parts else depth
+        if not keys and total <= depth:
+            return Cut(df, keys, False, int(depth))
     known = None
     if keys:
-        known, in_large, total = large_keys(basis, keys, parts)
-        if not in_large:
-            return Cut(df, keys, False, max(1, -(-total // segments)))
-    else:
-        in_large = total = basis.count()
-
-    low, high = float("-inf"), float("inf")
-    place = F.nanvl(axis.cast("double"), F.lit(high))
-    place = F.coalesce(-place if descending else place, F.lit(low))
+        counts = basis.groupBy(*keys).agg(F.count("*").alias("_n"))
+        known, n = _pinned(counts.where(F.col("_n") > depth).select(*keys, F.lit(True).alias("_large")))
+        if not n:
+            return Cut(df, keys, False, int(depth))
+
+    axes: dict[str, Column] = {}
+    for i, a in enumerate([axis] if isinstance(axis, Column) else axis):
+        found, exact = _doubles(df, a, descending and not i)
+        axes |= {f"_axis{len(axes) + j}": x for j, x in enumerate(found)}
+        if not exact:
+            break
 
     def placed(rows: DataFrame) -> DataFrame:
-        """The rows with their place on the axis, null unless their key is large."""
+        rows = rows.withColumns(axes)
         if known is None:
-            return rows.withColumn("_axis", place)
-        marks = known.select(
-            *[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_large")
-        )
-        same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-        # Fewer than `parts` rows: see large_keys.
-        marked = rows.join(F.broadcast(marks), same, "left")
-        return marked.withColumn("_axis", F.when(F.col("_large"), place)).drop(
-            "_large", *[f"_key_{k}" for k in keys]
-        )
-
-    # The sample only places the cuts; every row is kept, and no result
-    # depends on where they are.
-    points = placed(basis).select("_axis").where("_axis is not null")
-    wanted = 2 * SAMPLES_PER_SEGMENT * segments
-    if wanted < in_large:
-        points = points.sample(wanted / in_large, seed=7)
-    steps = [i / segments for i in range(1, segments)]
-    inner = set(points.approxQuantile("_axis", steps, 1 / (4 * segments))) - {low, high}
-    search = Bucketizer(
-        splits=[low, *sorted(inner), high] if inner else [low, 0.0, high],
-        inputCol="_axis",
-        outputCol="_bucket",
-    )
-    segment = F.coalesce(F.col("_bucket").cast("int") + 1, F.lit(0))
-    rows = search.transform(placed(df)).withColumn(SEGMENT, segment).drop("_axis", "_bucket")
-    return Cut(rows, keys, True, max(1, -(-total // segments)))
+            return rows.withColumn(SEGMENT, F.lit(1).cast("bigint"))
+        rows = _joined(rows, known, keys)
+        return rows.withColumn(SEGMENT, F.when(F.col("_large"), 1).otherwise(0).cast("bigint")).drop("_large")
+
+    by, names = [*keys, SEGMENT], list(axes)
+    rows, points = placed(df), placed(basis).select(*by, *names)
+    above = depth
+    while True:
+        found, n = _pinned(_cuts(points.where(F.col(SEGMENT) > 0), by, names, depth, above), "_many")
+        if not n:
+            break
+        heads = F.expr(f"transform(sequence(0, size(_cuts) - 1, {STEP}), i -> _cuts[i])")
+        found = found.withColumn("_heads", heads)
+        rows, points = _cut_once(rows, found, by, names), _cut_once(points, found, by, names)
+        above = 2 * depth
+    return Cut(rows.drop(*names), keys, True, max(1, int(depth)))
