@@ -37,6 +37,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.01, 1e-3
 ACCEPT = 0.7
 #: Words are pooled so many at a time.
 BLOCK = 1 << 14
+#: Words whose vectors are summed in one group, so that no partial sum of all of them reaches the driver.
+SLICE = 256
 
 
 def shape_of(word: str) -> int:
@@ -173,12 +175,23 @@ def fit(
             if texts:
                 sums = (0 if sums is None else sums) + known.contexts(texts)
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+            parts = [sums[i : i + SLICE * WIDTH].tobytes() for i in range(0, len(sums), SLICE * WIDTH)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"]
+            )
+
+    def total(rows: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(x) for x in rows["sums"].to_pylist()], axis=0)
+        return pa.table([rows["slice"].slice(0, 1), pa.array([whole.tobytes()], pa.binary())], names=["slice", "sums"])
 
-    # One row from each of the sample's few files.
+    # One row per slice from each of the sample's few files; whole numbers, so any order gives the same sums.
+    summed = sample.select("text").coalesce(8).mapInArrow(near, "slice int, sums binary")
+    summed = summed.groupBy("slice").applyInArrow(total, "slice int, sums binary")
     vectors = np.zeros(words.size * WIDTH)
-    for r in sample.select("text").coalesce(8).mapInArrow(near, "sums binary").collect():
-        vectors += np.frombuffer(r["sums"])
+    for r in summed.collect():
+        part = np.frombuffer(r["sums"])
+        vectors[r["slice"] * SLICE * WIDTH :][: len(part)] = part
+    sent.destroy()
     vectors = vectors.reshape(-1, WIDTH)
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     network = Network(words, vectors.astype(np.float32), np.zeros(WIDTH + 3), np.ones(WIDTH + 3), None, 1.0)
@@ -189,6 +202,7 @@ def fit(
         return lambda texts: [[net.pooled(x or "").tobytes() for x in texts.to_pylist()]]
 
     table = append(sample, make, ["text"], "x binary").select("x", "y").toArrow()
+    held.destroy()
     x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(-1, WIDTH + 3)
     y = table["y"].to_numpy().astype(float) if table.num_rows else np.zeros(0)
     order = np.lexsort([*x.T, y]) if len(y) else np.zeros(0, int)
