@@ -335,3 +335,45 @@ def test_materialized_mix_has_the_words_taken(spark, odd):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in plan.items() if v}
     known = [r.text for r in odd.collect()]
     assert all(r.text in known or any((t or "").startswith(r.text) for t in known) for r in rows)
+
+
+def test_parts_that_a_leader_does_not_join_are_joined(spark, monkeypatch):
+    """Chains of texts with coarse keys: leaders leave parts open, and comparing in blocks joins whole parts."""
+    monkeypatch.setattr(orderhash, "CELL", 8)
+    steps = {}
+    monkeypatch.setattr(orderhash, "saved", lambda df, name: steps.setdefault(name, common.saved(df, name)))
+    rng = random.Random(21)
+    made = []
+    for _ in range(4):
+        line = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(330)]
+        made += [" ".join(line[9 * i : 9 * i + 120]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    rows = common.saved(orderhash.sketched(docs, "doc_id", "text", 3, 1, []), "sketches")
+    links, whole = orderhash.near_links(rows)
+    assert not steps["more"].isEmpty()
+    found = rows_of(whole)
+    got = dict(found)
+    assert len(found) == len(got)
+    # The components are those of the links, by their least node.
+    root = {x: x for r in rows_of(links) for x in r[:2]}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in rows_of(links):
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    assert got == {x: top(x) for x in root}
+    # They are those of all pairs that share a key.
+    of = {r["_key"]: (bytes(r["node"]), set(r["keys"])) for r in rows.collect()}
+    words = {i: orderhash.words_of(t.encode()) for i, t in enumerate(made)}
+    want = {of[i][0]: of[i][0] for i in of}
+    for i in of:
+        for j in range(i):
+            if of[i][1] & of[j][1] and orderhash.similarity(words[i], words[j]) >= 0.8:
+                a, b = want[of[i][0]], want[of[j][0]]
+                want = {x: min(a, b) if r in (a, b) else r for x, r in want.items()}
+    lone = {x: bytes(got.get(x, x)) for x in want}
+    assert lone == want

@@ -248,17 +248,31 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
 
     def compare(cell: pa.Table) -> pa.Table:
         found = between_parts(cell, similar)
+        part = dict(zip(cell["node"].to_pylist(), cell["part"].to_pylist()))
+        columns = [*zip(*found)] or [(), (), ()]
+        columns += [[part[x] for x in ends] for ends in columns[:2]]
+        kinds = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
         return pa.table(
-            [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.float64()))],
-            names=["a", "b", "similarity"],
+            [pa.array(x, k) for x, k in zip(columns, kinds)], names=["a", "b", "similarity", "part_a", "part_b"]
         )
 
-    more = cells.groupBy("key", "low", "high").applyInArrow(compare, "a binary, b binary, similarity double")
-    links = saved(first.unionByName(more), "links-found")
-    whole = components(links.select("a", "b"))
+    more = saved(
+        cells.groupBy("key", "low", "high").applyInArrow(
+            compare, "a binary, b binary, similarity double, part_a binary, part_b binary"
+        ),
+        "more",
+    )
     # Only the links and the components are read from here on.
-    discard(nodes, bucketed, texts, pairs, first)
-    return links, whole
+    discard(nodes, bucketed, texts, pairs)
+    if more.isEmpty():
+        return first, whole
+    # What is new joins whole components, so only their roots are followed further.
+    joined = components(more.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+    moved = whole.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    alone = joined.join(whole, "node", "left_anti")
+    return first.unionByName(more.drop("part_a", "part_b")), moved.select(
+        "node", F.coalesce("top", "root").alias("root")
+    ).unionByName(alone)
 
 
 def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, float]]:
