@@ -3,12 +3,16 @@
 import datetime as dt
 import os
 import tempfile
+from collections import Counter
 from decimal import Decimal
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tidewheel import plans
+from tidewheel.plans.streams import BATCH_CONF
 from tidewheel.sources.tables import stream
 from tidewheel.streaming import events as streams
 from tidewheel.streaming.runs import run_to_files, stream_session
@@ -166,3 +170,33 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, run, build, columns):
     at_once = run(batches, build)
     rows = lambda found: sorted(tuple(r[c] for c in columns) for r in found)
     assert rows(stopped) and rows(stopped) == rows(at_once)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["stream_daily_events", "stream_events_without_repeats", "stream_views_with_purchases",
+     "stream_user_sessions", "stream_spending_marks"],
+)
+def test_registered_streams_in_bounded_batches_equal_their_sql(spark, name):
+    table = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "ascending")])
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    os.makedirs(f"{folder}/events.parquet")
+    part = -(-table.num_rows // 4)
+    for i in range(4):
+        path = f"{folder}/events.parquet/{i:03}.parquet"
+        pq.write_table(table.slice(i * part, part), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    found = con.execute(plans.ORACLES[name])
+    names = [c[0] for c in found.description]
+    spark.conf.set(BATCH_CONF, "1")
+    try:
+        rows = plans.QUERIES[name](spark, folder)
+        got = rows.select(*names).collect()
+    finally:
+        spark.conf.unset(BATCH_CONF)
+    # Each commit in the checkpoint beside the rows is a batch.
+    run = os.path.dirname(os.path.dirname(rows.inputFiles()[0].removeprefix("file://")))
+    assert sum(x.isdigit() for x in os.listdir(f"{run}/checkpoint/commits")) >= 4
+    assert Counter(map(tuple, got)) == Counter(found.fetchall())

@@ -3,6 +3,11 @@
 A window, session or hour that is still open when the stream stops is not in
 its result; the SQL leaves the same ones out. The watermark is one hour behind
 the latest event.
+
+The setting ``spark.tidewheel.streamBatchBytes`` bounds the bytes of one micro-batch
+(at least one file is taken), and so the state held at once. It asks for files that
+follow in time up to the hour; unset, all files make one batch and their order does
+not matter.
 """
 
 from __future__ import annotations
@@ -17,12 +22,17 @@ from tidewheel.streaming import events as streams
 from tidewheel.streaming.runs import run_to_files, stream_session
 
 DELAY = "1 hour"
+BATCH_CONF = "spark.tidewheel.streamBatchBytes"
 
 
 def _run(
     spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    return run_to_files(build(stream(stream_session(spark), folder, "events")), name, spark)
+    bound = spark.conf.get(BATCH_CONF, None)
+    events = stream(
+        stream_session(spark), folder, "events", bytes_per_batch=int(bound) if bound else None
+    )
+    return run_to_files(build(events), name, spark)
 
 
 @query("""

@@ -31,11 +31,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream(
-    spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
-    """The table as a file stream; ``files_per_batch`` bounds one micro-batch."""
+    """The table as a file stream; ``files_per_batch`` or ``bytes_per_batch`` bounds one micro-batch.
+
+    Bounded batches take the files by their age. A row older than the watermark
+    that earlier files have set is late, so files must follow in time up to the delay.
+    """
     reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     # A pattern, since a plain path must be a folder and a table may be one file.
     return reader.parquet(f"{folder}/{name}[.]parquet")
