@@ -303,6 +303,30 @@ def test_near_classes_equal_all_pairs(spark, odd, cell, monkeypatch):
     assert {i: r.class_rows for i, r in got.items()} == {i: root.count(root[i]) for i in got}
 
 
+@pytest.mark.parametrize("cell", [128, 4])
+def test_short_near_copies_equal_all_pairs(spark, cell, monkeypatch):
+    monkeypatch.setattr(orderhash, "CELL", cell)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    frame = [word() for _ in range(60)]  # words that many texts share
+    made = []
+    for n in [*range(5, 21), 25, 30, 34, 35, 36, 37, 40]:
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            made += [base, base + [word()], [word()] + base[1:], base[: n // 2] + [word()] + base[n // 2 + 1 :]]
+        made += [frame[:n] + [word()], [word()] + frame[:n] + [word()]]
+        base = [word() for _ in range(n)]
+        made += [base, base + [word() for _ in range((n - 4) // 4)]]  # as far apart as near copies may be
+    made = [" ".join(w) for w in made]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in orderhash.classes(docs).collect()}
+    root = near_brute(made)
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert got == {i: least[r] for i, r in enumerate(root)}
+
+
 def test_near_classes_of_odd_rows(spark, odd):
     got = orderhash.classes(odd, keep=["lang"]).collect()
     assert len(got) == odd.count()

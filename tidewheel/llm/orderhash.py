@@ -6,6 +6,11 @@ keys; each is made of the ``drawn`` shingles with the least hashes under its own
 function, listed in text order. Two texts agree in a key if they share those
 shingles and their order, so the chance grows with their edit similarity.
 
+Sketches miss too much where shingles are few. If the smaller of two texts has at most
+``FEW`` shingles, candidates are exact instead: the keys are a text's rarest shingles, so
+many of them that two similar texts always share one (a prefix filter). Texts above
+``FEW`` have sketches, and those that may meet a text on either side have both.
+
 Candidates are verified by alignment: the labelled shingles that both have,
 matched in order within a band around the diagonal as wide as the similarity
 allows. With w matches the similarity is w / (shingles of both - w), and from
@@ -39,6 +44,8 @@ from tidewheel.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, DRAWN = 32, 6
+#: Pairs whose smaller text has at most so many shingles are found by exact keys.
+FEW = 32
 #: Pairs that one copy of a leader's text serves.
 PAIRS_PER_COPY = 64
 #: Nodes in a block of a bucket, and shingles counted at once for two blocks.
@@ -130,31 +137,61 @@ def similarity(a: list[bytes], b: list[bytes], least: float = SIMILAR) -> float:
 
 
 def sketched(
-    docs: DataFrame, key: str, text: str, sketches: int, drawn: int, keep: list[str]
+    docs: DataFrame, key: str, text: str, sketches: int, drawn: int, keep: list[str], similar: float = SIMILAR
 ) -> DataFrame:
-    """``_key``, ``node`` (a digest of the words), ``size`` (shingles), ``keys`` and ``_text``."""
+    """``_key``, ``node`` (a digest of the words), ``size`` (shingles), ``keys``, ``marks`` and ``_text``.
+
+    ``keys`` are the sketches of texts above ``FEW`` shingles; ``marks`` are the shingles of
+    texts that may be similar to one of at most ``FEW``.
+    """
+    most = FEW / similar + 1e-6
 
     def make():
         def work(texts):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, few = [], [], [], []
             for x in utf8(texts):
                 words = words_of(x)
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 marks = shingles(words)
                 sizes.append(len(marks))
-                keys.append(sketch(marks, sketches, drawn).view(np.int64))
-            offsets = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())
-            )
-            return [nodes, sizes, lists]
+                keys.append((sketch(marks, sketches, drawn) if len(marks) > FEW else marks[:0]).view(np.int64))
+                few.append((marks if len(marks) <= most else marks[:0]).view(np.int64))
+            lists = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, x)]), pa.int32()),
+                    pa.array(np.concatenate(x) if x else [], pa.int64()),
+                )
+                for x in (keys, few)
+            ]
+            return [nodes, sizes, *lists]
 
         return work
 
     rows = docs.select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
     )
-    return append(rows, make, ["_text"], "node binary, size bigint, keys array<bigint>")
+    return append(rows, make, ["_text"], "node binary, size bigint, keys array<bigint>, marks array<bigint>")
+
+
+def rarest(nodes: DataFrame, similar: float) -> DataFrame:
+    """``node``, ``size`` and ``key``: those of the rarest ``marks`` of a node that other nodes have too.
+
+    Similar texts share ``similar`` of each one's shingles at least, so of all but that many, and one
+    more, in any one order of shingles, they share one. Shingles of a single node come first in the
+    order and need not be listed.
+    """
+    held = nodes.select("node", "size", F.explode("marks").alias("mark"))
+    common = held.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = (
+        held.join(common, "mark")
+        .groupBy("node", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "mark"))).alias("ranked"))
+    )
+    single = F.col("size") - F.size("ranked")
+    first = F.col("size") - F.ceil(F.col("size") * similar - 1e-6) + 1 - single
+    return ranked.where(first > 0).select(
+        "node", "size", F.explode(F.slice("ranked", F.lit(1), first.cast("int"))["mark"]).alias("key")
+    )
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -197,13 +234,15 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
 
     ``rows`` are saved rows of :func:`sketched`.
     """
-    nodes = saved(rows.groupBy("node").agg(F.min("size").alias("size"), F.min("keys").alias("keys")), "nodes")
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    nodes = saved(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "keys", "marks")]), "nodes")
+    sketches = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = saved(sketches.unionByName(rarest(nodes, similar)), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bucketed = saved(keyed.join(shared, "key"), "buckets")
     # One text for each node that shares a bucket: rows equal in words are interchangeable.
     texts = saved(
-        rows.join(bucketed.select("node").distinct(), "node", "left_semi")
+        rows.select("node", "_text")
+        .join(bucketed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")
         .groupBy("node")
         .agg(F.min("_text").alias("_text"), F.min("keys").alias("keys")),
         "texts",
@@ -263,7 +302,7 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
         "more",
     )
     # Only the links and the components are read from here on.
-    discard(nodes, bucketed, texts, pairs)
+    discard(nodes, keyed, bucketed, texts, pairs)
     if more.isEmpty():
         return first, whole
     # What is new joins whole components, so only their roots are followed further.
@@ -275,11 +314,30 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
     ).unionByName(alone)
 
 
+def shared_counts(sets: list) -> np.ndarray:
+    """How many values each two of the sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values = np.concatenate([np.asarray(x, np.int64) if isinstance(x, list) else x for x in sets])
+    out = np.zeros((n, n), np.float32)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, column = owner[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        out += has @ has.T
+    return out
+
+
 def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, float]]:
     """Links between nodes of different parts of a cell, enough to join all parts that belong together.
 
     Shared shingles of all pairs are counted at once, in matrices; only pairs
-    with enough of them are aligned. A pair is judged in its first common bucket.
+    with enough of them are aligned. A pair is judged in its least common bucket.
     """
     key, low, high = (cell[c][0].as_py() for c in ("key", "low", "high"))
     nodes, block = cell["node"].to_pylist(), cell["block"].to_numpy()
@@ -290,9 +348,8 @@ def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, fl
     words = [words_of(x or b"") for x in cell["_text"].cast(pa.binary()).to_pylist()]
     marks = [shingles(w) for w in words]
     size = np.array([len(m) for m in marks])
-    keys = np.array(cell["keys"].to_pylist(), np.int64)
-    same = keys[:, None, :] == keys[None, :, :]
-    wanted = keys[np.arange(len(nodes))[:, None], same.argmax(2)] == key
+    keys = [[k for k in x if k < key] for x in cell["keys"].to_pylist()]
+    wanted = shared_counts(keys) == 0
     wanted &= part[:, None] != part[None, :]
     wanted &= np.arange(len(nodes))[:, None] < np.arange(len(nodes))[None, :]
     if low != high:
@@ -301,18 +358,7 @@ def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, fl
     wanted &= np.minimum(size[:, None], size[None, :]) >= needed
     if not wanted.any():
         return []
-    found, column, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(nodes)), size)
-    common = times[column] > 1
-    owner, column = owner[common], (np.cumsum(times > 1) - 1)[column[common]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    shared = np.zeros(wanted.shape, np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [at, at + COLUMNS])
-        has = np.zeros((len(nodes), COLUMNS), np.float32)
-        has[owner[a:b], column[a:b] - at] = 1
-        shared += has @ has.T
+    shared = shared_counts(marks)
     left, right = np.nonzero(wanted & (shared >= needed))
     root = list(range(len(number)))
 
@@ -351,7 +397,7 @@ def classes(
     """
     # The text is carried once, whether or not it is to be kept.
     carried = {c: "_text" if c == text else f"_keep_{c}" for c in keep or []}
-    rows = saved(sketched(docs, key, text, sketches, drawn, [c for c in carried if c != text]), "sketches")
+    rows = saved(sketched(docs, key, text, sketches, drawn, [c for c in carried if c != text], similar), "sketches")
     _, whole = near_links(rows, similar)
     per_key = rows.groupBy("node", "_key").agg(F.count("*").alias("repeats"))
     place = per_key.join(whole, "node", "left").select("node", "_key", "repeats", F.coalesce("root", "node").alias("root"))
