@@ -103,6 +103,17 @@ def test_added_spans():
     assert pii.redacted("a b@c.de z", pii.all_spans("a b@c.de z", field)[1]) == "a <email> z"
 
 
+def test_repeated_rows_of_different_classes_all_stay(spark, middle):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d"))]
+    rows = [(i, t, "en", "s", n) for i, t in rows for n in (2, 1)] + [(8, text("e"), "en", "s", 3)]
+    docs = spark.createDataFrame(rows, common.SCHEMAS["documents"])
+    got = corpus_pipeline.drop_near_copies(spark, docs, middle).collect()
+    assert sorted((r.text, r.doc_id, r.n_chars) for r in got) == [
+        (text("a"), None, 1), (text("b"), None, 1), (text("c"), 7, 1), (text("d"), 7, 1), (text("e"), 8, 3)
+    ]
+
+
 def test_pipeline_stages(spark, middle, odd):
     docs = before = common.table(spark, middle, "documents")
     names = []

@@ -389,11 +389,12 @@ def classes(
     drawn: int = DRAWN,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The key, ``class_id``, ``class_rows``, ``kept`` and ``repeats`` of every row, and the columns ``keep``.
+    """The key, ``class_id``, ``class_rows``, ``kept``, ``repeats`` and ``digest`` of every row, and the columns ``keep``.
 
     ``class_id`` is the least key among a row and its near copies. One row of a class is
     kept: the one with the least key, then the least digest. Rows equal in key and words are
-    kept alike; ``repeats`` says how many they are.
+    kept alike; ``repeats`` says how many they are. ``digest`` stands for the words, so that key
+    and digest tell the kept rows of different classes apart, also where a key is null or repeated.
     """
     # The text is carried once, whether or not it is to be kept.
     carried = {c: "_text" if c == text else f"_keep_{c}" for c in keep or []}
@@ -414,6 +415,6 @@ def classes(
         (F.col("_key").eqNullSafe(F.col("lead._key")) & (F.col("node") == F.col("lead.node"))).alias("kept"),
     )
     return rows.join(judged, (F.col("node") == F.col("_node")) & F.col("_key").eqNullSafe(F.col("_of"))).select(
-        F.col("_key").alias(key), "class_id", "class_rows", "kept", "repeats",
+        F.col("_key").alias(key), "class_id", "class_rows", "kept", "repeats", F.col("_node").alias("digest"),
         *[F.col(held).alias(c) for c, held in carried.items()],
     )
