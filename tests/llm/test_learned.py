@@ -78,6 +78,25 @@ PAGES = {
 }
 
 
+ARTICLE = "<h1>Title of it</h1><p>some words of the article, many of them</p><p>and more of them follow here</p>"
+READ = "Title of it some words of the article, many of them and more of them follow here"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><nav>menu</nav><div class='page has-sidebar'>{ARTICLE}</div><div class=sidebar>side</div>",
+    f"<body><div id='content-with-sidebar'>{ARTICLE}</div><div class='search-form'>find</div>",
+    f"<body><div class='post comments-open'>{ARTICLE}</div><div id=comments><p>{'reader says this ' * 20}</p></div>",
+    f"<body><article class='post comments-open'>{ARTICLE}</article><div class=ad>buy</div>",
+    f"<body><form><div class=login>sign in</div><div>{ARTICLE}</div></form>",
+    f"<body><form><p>go</p><article>{ARTICLE}</article></form>",
+    f"<body><div class=widget><div class='notice'><main>{ARTICLE}</main></div></div><div class=promo>buy</div>",
+    f"<body><div class='share'>{ARTICLE}</div><div class='related'><a href=x>more of this</a></div>",
+    f"<body><article>{ARTICLE}</article><div class=related><article><p>a teaser of some other page</p></article></div>",
+])
+def test_names_and_forms_do_not_drop_the_article(page):
+    assert extract.main_text(page) == READ
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_pages_by_hand(page):
     assert extract.main_text(page) == PAGES[page]

@@ -1,8 +1,9 @@
 """Main text of a page by composite text density.
 
-A page becomes a tree; what is never article text (scripts, menus, adverts,
-forms, readers' comments and so on, told by tag, role and words of class and id)
-is left out with all below it. Every node then has a density: characters per tag,
+A page becomes a tree; what is never article text (scripts, menus, page headers and so
+on, told by tag) is left out with all below it. Forms, and nodes whose role or class or
+id names an advert, a sidebar, readers' comments or the like, are in doubt: they are
+left out too, unless the page's text is in them (see :func:`without_doubtful`). Every node then has a density: characters per tag,
 adjusted by the share of linked characters,
 
     C/T * log(C/LC * T/LT) to the base ln(C/(C-LC) * LC + LCb/Cb * C + e)
@@ -35,7 +36,7 @@ from tidewheel.llm.common import append
 # Names of HTML elements, and words of class, id and role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set(
-    "aside button canvas datalist dialog footer form head header iframe map menu nav noscript object "
+    "aside button canvas datalist dialog footer head header iframe map menu nav noscript object "
     "script select style svg template textarea title video audio".split()
 )
 INLINE = set(
@@ -66,16 +67,24 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+
+def doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words that speak against a node. Of a compound name all must do so: not has-sidebar, comments-open."""
+    if tag in ("html", "body", "main"):
+        return set()
     barred = COMMENTS if tag == "article" else UNWANTED
+    found = {"form"} if tag == "form" else set()
     for name, value in attrs:
         if name in ("class", "id"):
-            if any(w.lower() in barred for w in WORD.findall(value or "")):
-                return True
-        elif name == "hidden" or (name == "role" and (value or "").lower() in ROLES):
-            return True
-        elif name == "aria-hidden" and value == "true":
-            return True
-    return False
+            for token in (value or "").lower().split():
+                words = set(WORD.findall(token))
+                if words <= barred:
+                    found |= words
+        elif name == "role" and (value or "").lower() in ROLES:
+            found.add("role")
+    return found
 
 
 class Page(HTMLParser):
@@ -88,6 +97,7 @@ class Page(HTMLParser):
         self.open = [0]
         self.closed_off = 0  # open nodes that are left out
         self.left_out: dict[int, str] = {}  # their tags; they have negative numbers
+        self.doubts: dict[int, set[str]] = {}
         self.feed(html)
         self.close()
         while len(self.open) > 1:
@@ -117,6 +127,9 @@ class Page(HTMLParser):
             self.last[-1] = len(self.tags) - 1
             return
         self.open.append(self._add(tag))
+        doubts = doubtful(tag, attrs)
+        if doubts:
+            self.doubts[self.open[-1]] = doubts
 
     def _add(self, tag: str) -> int:
         self.tags.append(tag)
@@ -198,10 +211,8 @@ def densities(page: Page, body: int) -> list[float]:
     return out
 
 
-def main_text(html: str) -> str:
-    if not html:
-        return ""
-    page = Page(html)
+def densest(page: Page) -> tuple[int, list[float], list[float], int]:
+    """The body, all densities, the sums of the children's densities, and the node with the largest sum."""
     n = len(page.tags)
     body = next((i for i in range(n) if page.tags[i] == "body"), 0)
     density = densities(page, body)
@@ -210,6 +221,72 @@ def main_text(html: str) -> str:
         sums[page.parents[i]] += density[i]
     holder = [t not in INLINE and t not in TEXT_BLOCKS for t in page.tags]
     best = max((i for i in range(body, page.last[body] + 1) if holder[i]), key=lambda i: (sums[i], -i), default=body)
+    return body, density, sums, best
+
+
+def without(page: Page, nodes: set[int]) -> Page:
+    """The page without these nodes and all below them."""
+    if not nodes:
+        return page
+    out = Page("")
+    number = {0: 0}
+    for i in range(1, len(page.tags)):
+        p = number.get(page.parents[i])
+        if p is not None and i not in nodes:
+            number[i] = len(out.tags)
+            out.tags.append(page.tags[i])
+            out.parents.append(p)
+    out.last = list(range(len(out.tags)))
+    for i in range(len(out.tags) - 1, 0, -1):
+        p = out.parents[i]
+        out.last[p] = max(out.last[p], out.last[i])
+    out.texts = [(number[i], t) for i, t in page.texts if i in number]
+    out.doubts = {number[i]: d for i, d in page.doubts.items() if i in number}
+    return out
+
+
+def without_doubtful(page: Page) -> Page:
+    """The page without its doubtful nodes, except those that the page's text is in.
+
+    A node stays that holds an ``article`` or ``main``, if no other stands outside all doubtful
+    nodes. First comments go; of what is left, nodes stay that hold the node with the largest
+    sum of densities, or most of the text. If no text would be left, all nodes stay.
+    """
+    if not page.doubts:
+        return page
+    doubted = [0] * len(page.tags)  # doubtful nodes from the root to each node
+    for i in range(1, len(page.tags)):
+        doubted[i] = doubted[page.parents[i]] + (i in page.doubts)
+    marks = [i for i, t in enumerate(page.tags) if t in ("article", "main") and i not in page.doubts]
+    held = set()
+    if not any(doubted[i] == 0 for i in marks):
+        for i in marks:
+            i = page.parents[i]
+            while i and i not in held:
+                held.add(i)
+                i = page.parents[i]
+    for i in held:
+        page.doubts.pop(i, None)
+    rest = without(page, {i for i, d in page.doubts.items() if d & COMMENTS})
+    if rest.doubts:
+        best = densest(rest)[3]
+        chars = [0] * len(rest.tags)
+        for i, text in rest.texts:
+            chars[i] += len(text.strip())
+        for i in range(len(chars) - 1, 0, -1):
+            chars[rest.parents[i]] += chars[i]
+        rest = without(
+            rest, {i for i in rest.doubts if not i <= best <= rest.last[i] and 2 * chars[i] <= chars[0]}
+        )
+    return rest if any(t.strip() for _, t in rest.texts) else page
+
+
+def main_text(html: str) -> str:
+    if not html:
+        return ""
+    page = without_doubtful(Page(html))
+    n = len(page.tags)
+    body, density, sums, best = densest(page)
     threshold, at = density[best], best
     while at != body:
         at = page.parents[at]
