@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import brown, classifier, extract, mixing, orderhash, pieces, pii, rules, simhash, urls
+from tidewheel.llm import (
+    brown, classifier, credentials, extract, mixing, negatives, orderhash, pieces, pii, rules, simhash, spelling, urls,
+)
 from tidewheel.llm.common import remainder, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -135,6 +137,23 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def credentials_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.find(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
+def spelling_query(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def negatives_query(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": simhash_query,
     "op2_url_filter": urls_query,
@@ -146,7 +165,16 @@ QUERIES = {
     "op8_quality_classifier": classifier_query,
     "op9_order_minhash": orderhash_query,
     "op10_mixing": mixing_query,
+    "op11_credentials": credentials_query,
+    "op12_spelling": spelling_query,
+    "op13_negatives": negatives_query,
 }
 
 #: The other operators rest on hashes, models or libraries that SQL cannot express.
-ORACLES = {"op2_url_filter": URLS_ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_url_filter": URLS_ORACLE,
+    "op10_mixing": mixing.ORACLE,
+    "op11_credentials": credentials.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_negatives": negatives.ORACLE,
+}
