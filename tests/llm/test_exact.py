@@ -239,38 +239,45 @@ def test_components_by_union_find(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def common_run(a, b):
+    """Words of the longest list that both have in order, by plain dynamic programming."""
+    line = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, start=1):
+            diagonal, line[j] = line[j], diagonal + 1 if x == y else max(line[j], line[j - 1])
+    return line[-1]
+
+
 def near_brute(texts):
-    """Classes by the similarity of all pairs, with plain dynamic programming."""
-
-    def marks(t):
-        w = [bytes(x) for x in (t or "").encode().lower().split()]
-        runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
-        seen = Counter()
-        out = []
-        for r in runs:
-            out.append((r, seen[r]))
-            seen[r] += 1
-        return out
-
-    def common_run(a, b):
-        line = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, start=1):
-                diagonal, line[j] = line[j], diagonal + 1 if x == y else max(line[j], line[j - 1])
-        return line[-1]
-
-    m = [marks(t) for t in texts]
+    """Classes by the similarity of all pairs."""
+    m = [(t or "").encode().lower().split() for t in texts]
+    fives = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in m]
     root = list(range(len(texts)))
     for i in range(len(m)):
         for j in range(i):
-            if m[i] == m[j] or (len(m[i][0][0]) == len(m[j][0][0]) == 5 and (
-                w := common_run(m[i], m[j])) >= 0.8 * (len(m[i]) + len(m[j]) - w)):
+            if m[i] == m[j] or (fives[i] & fives[j] and 2 * common_run(m[i], m[j]) >= 0.8 * (len(m[i]) + len(m[j]))):
                 a, b = root[i], root[j]
                 root = [b if r == a else r for r in root]
     return root
 
 
+@pytest.mark.parametrize("stride", [4096, 3])
+def test_alignment_equals_plain_dynamic_programming(stride, monkeypatch):
+    monkeypatch.setattr(orderhash, "STRIDE", stride)
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [bytes([rng.randrange(6)]) for _ in range(rng.randint(0, 30))]
+        b = [w if rng.random() < 0.8 else bytes([rng.randrange(6)]) for w in a if rng.random() < 0.9]
+        want = common_run(a, b)
+        assert orderhash.matched(a, b, len(a) + len(b)) == want
+        least = len(a) + len(b) - 2 * want  # a band that the alignment needs
+        assert orderhash.matched(a, b, least) == want
+    long = [str(i % 977).encode() for i in range(30_000)]
+    other = [b"x" if i % 11 == 0 else w for i, w in enumerate(long)]
+    assert orderhash.similarity(long, other) == pytest.approx(2 * sum(map(bytes.__eq__, long, other)) / 60_000, abs=0.002)
+
+
 def variants(rng, groups=6, copies=9):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     out = []

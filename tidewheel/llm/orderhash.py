@@ -1,4 +1,4 @@
-"""Near copies by Order MinHash, verified by banded alignment.
+"""Near copies by Order MinHash, verified by banded alignment of words.
 
 A text's shingles are its windows of five words (A-Z in lower case), each
 labelled with its occurrence, so that repeats count. A sketch has ``sketches``
@@ -7,14 +7,14 @@ function, listed in text order. Two texts agree in a key if they share those
 shingles and their order, so the chance grows with their edit similarity.
 
 Sketches miss too much where shingles are few. If the smaller of two texts has at most
-``FEW`` shingles, candidates are exact instead: the keys are a text's rarest shingles, so
-many of them that two similar texts always share one (a prefix filter). Texts above
-``FEW`` have sketches, and those that may meet a text on either side have both.
+``FEW`` words, candidates are exact instead: the keys are a text's rarest words, each labelled
+with its occurrence, so many of them that two similar texts always share one (a prefix filter).
+Texts above ``FEW`` have sketches, and those that may meet a text on either side have both.
 
-Candidates are verified by alignment: the labelled shingles that both have,
-matched in order within a band around the diagonal as wide as the similarity
-allows. With w matches the similarity is w / (shingles of both - w), and from
-``SIMILAR`` on two texts are near copies.
+Candidates are verified by alignment of their words: the longest run of words that both have
+in order, sought within a band around the diagonal as wide as the similarity allows.
+With w words matched the similarity is 2w / (words of both), which edits lower word by word.
+Two texts are near copies from ``SIMILAR`` on, if they share five words in a row.
 
 Texts with the same words are one node. In every bucket (the nodes that agree in
 a key) each node is compared with the leader, the node that meets most others; the
@@ -23,15 +23,15 @@ components is compared exactly: it is cut into blocks, and each two blocks are
 compared in a task of their own, all pairs of different components. So nodes of one group
 are not paired row by row, no bucket is gathered in one task, and none is capped.
 
-A null text counts as empty. Texts of fewer than five words have one shingle, their
-whole word list, so they are near only if equal; texts without words are equal to each other.
+A null text counts as empty. Texts of fewer than five words have no five in a row, so they are
+near only if equal; texts without words are equal to each other.
 Null keys are allowed. Rows are never dropped or merged.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,14 @@ from tidewheel.llm.common import append, discard, saved, utf8
 from tidewheel.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, DRAWN = 32, 6
-#: Pairs whose smaller text has at most so many shingles are found by exact keys.
+SKETCHES, DRAWN = 40, 3
+#: Pairs whose smaller text has at most so many words are found by exact keys.
 FEW = 32
+#: Words aligned at once; the band is wider by as many.
+STRIDE = 4096
 #: Pairs that one copy of a leader's text serves.
 PAIRS_PER_COPY = 64
-#: Nodes in a block of a bucket, and shingles counted at once for two blocks.
+#: Nodes in a block of a bucket, and words counted at once for two blocks.
 CELL, COLUMNS = 128, 4096
 #: Hash values made at once for a text.
 BLOCK = 1 << 21
@@ -64,28 +66,44 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    h = (h + np.uint64(1)) * _ODD[60]
+    return h ^ (h >> _HALF)
+
+
+def _labelled(marks: np.ndarray) -> np.ndarray:
+    """The marks, repeats told apart by their occurrence."""
+    n = len(marks)
+    order = np.argsort(marks, kind="stable")
+    ranked = marks[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    if first.all():
+        return marks
+    place = np.arange(n)
+    label = np.empty(n, np.uint64)
+    label[order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    out = (marks + label * _ODD[61]) * _MIX
+    # First occurrences keep their mark, whether or not the text has repeats.
+    return np.where(label > 0, out ^ (out >> _HALF), marks)
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the windows of five words, labelled with their occurrence."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    h = (h + np.uint64(1)) * _ODD[60]
-    h ^= h >> _HALF
+    h = _hashed(words)
     n = max(1, len(words) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
         out = (out ^ h[i : i + n]) * _MIX
         out ^= out >> _HALF
-    order = np.argsort(out, kind="stable")
-    ranked = out[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    if not first.all():
-        place = np.arange(n)
-        label = np.empty(n, np.uint64)
-        label[order] = place - np.maximum.accumulate(np.where(first, place, 0))
-        out = (out + label * _ODD[61]) * _MIX
-        out ^= out >> _HALF
-    return out
+    return _labelled(out)
+
+
+def word_marks(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words, labelled with their occurrence."""
+    return _labelled(_hashed(words)) if words else np.zeros(0, np.uint64)
 
 
 def sketch(marks: np.ndarray, sketches: int = SKETCHES, drawn: int = DRAWN) -> np.ndarray:
@@ -110,41 +128,66 @@ def sketch(marks: np.ndarray, sketches: int = SKETCHES, drawn: int = DRAWN) -> n
     return out
 
 
+def matched(x: list[bytes], y: list[bytes], band: int) -> int:
+    """Most words that both lists have in order, matched at most ``band`` places apart (or a little more).
+
+    The row of the alignment is one number with a bit per word of ``y``; a cleared bit is a match won.
+    Of a long list the number holds only what the band reaches.
+    """
+    n, m, ahead, behind = len(x), len(y), 0, 0
+    while ahead < min(n, m) and x[ahead] == y[ahead]:
+        ahead += 1
+    while behind < min(n, m) - ahead and x[n - 1 - behind] == y[m - 1 - behind]:
+        behind += 1
+    x, y = x[ahead : n - behind], y[ahead : m - behind]
+    total, low, high, row = ahead + behind, 0, 0, 0
+    for at in range(0, len(x), STRIDE):
+        start, end = min(max(0, at - band), len(y)), min(len(y), at + STRIDE + band)
+        # Bits that the band has left are settled; those it reaches now are still set.
+        gone = start - low
+        total += gone - (row & ((1 << gone) - 1)).bit_count()
+        row = (row >> gone) | (((1 << (end - high)) - 1) << (high - start))
+        low, high = start, end
+        full = (1 << (high - low)) - 1
+        where: dict[bytes, list[int]] = {}
+        for j in range(low, high):
+            where.setdefault(y[j], []).append(j - low)
+        masks: dict[bytes, int] = {}
+        for w in x[at : at + STRIDE]:
+            if w in where:
+                if w not in masks:
+                    masks[w] = sum(1 << j for j in where[w])
+                hit = row & masks[w]
+                row = ((row + hit) | (row - hit)) & full
+    return total + (high - low) - row.bit_count()
+
+
 def similarity(a: list[bytes], b: list[bytes], least: float = SIMILAR) -> float:
-    """Shingles matched in order within the band, over all; 0 once it cannot reach ``least``."""
-    if min(len(a), len(b)) < SHINGLE:
+    """Twice the words matched in order, over the words of both; 0 under ``least`` or without five in a row."""
+    n, m = len(a), len(b)
+    if min(n, m) < SHINGLE:
         return float(a == b)
-    x, y = shingles(a), shingles(b)
-    # With fewer matches than this the similarity is under the least one.
-    needed = least / (1 + least) * (len(x) + len(y))
-    if min(len(x), len(y)) < needed - 1e-9:
+    needed = least / 2 * (n + m) - 1e-9
+    if min(n, m) < needed:
         return 0.0
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    band = max(len(x), len(y)) - needed + 1e-9
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < needed - 1e-9:
+    if sum((Counter(a) & Counter(b)).values()) < needed:
         return 0.0
-    j = j[np.argsort(i)]
-    matched = len(j)
-    if (np.diff(j) <= 0).any():
-        tails: list[int] = []
-        for v in j.tolist():
-            at = bisect_left(tails, v)
-            tails[at : at + 1] = [v]
-        matched = len(tails)
-    return matched / (len(x) + len(y) - matched)
+    found = matched(a, b, int(n + m - 2 * needed) + 1)
+    if found < needed:
+        return 0.0
+    runs = [zip(*[w[i:] for i in range(SHINGLE)]) for w in (a, b)]
+    return 0.0 if set(runs[0]).isdisjoint(runs[1]) else 2 * found / (n + m)
 
 
 def sketched(
     docs: DataFrame, key: str, text: str, sketches: int, drawn: int, keep: list[str], similar: float = SIMILAR
 ) -> DataFrame:
-    """``_key``, ``node`` (a digest of the words), ``size`` (shingles), ``keys``, ``marks`` and ``_text``.
+    """``_key``, ``node`` (a digest of the words), ``size`` (words), ``keys``, ``marks`` and ``_text``.
 
-    ``keys`` are the sketches of texts above ``FEW`` shingles; ``marks`` are the shingles of
+    ``keys`` are the sketches of texts above ``FEW`` words; ``marks`` are the labelled words of
     texts that may be similar to one of at most ``FEW``.
     """
-    most = FEW / similar + 1e-6
+    most = FEW * (2 - similar) / similar + 1e-6
 
     def make():
         def work(texts):
@@ -152,10 +195,10 @@ def sketched(
             for x in utf8(texts):
                 words = words_of(x)
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                marks = shingles(words)
-                sizes.append(len(marks))
-                keys.append((sketch(marks, sketches, drawn) if len(marks) > FEW else marks[:0]).view(np.int64))
-                few.append((marks if len(marks) <= most else marks[:0]).view(np.int64))
+                none = np.zeros(0, np.uint64)
+                sizes.append(len(words))
+                keys.append((sketch(shingles(words), sketches, drawn) if len(words) > FEW else none).view(np.int64))
+                few.append((word_marks(words) if SHINGLE <= len(words) <= most else none).view(np.int64))
             lists = [
                 pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, x)]), pa.int32()),
@@ -176,10 +219,11 @@ def sketched(
 def rarest(nodes: DataFrame, similar: float) -> DataFrame:
     """``node``, ``size`` and ``key``: those of the rarest ``marks`` of a node that other nodes have too.
 
-    Similar texts share ``similar`` of each one's shingles at least, so of all but that many, and one
-    more, in any one order of shingles, they share one. Shingles of a single node come first in the
+    Similar texts share ``similar / (2 - similar)`` of each one's words at least, so of all but that many,
+    and one more, in any one order of words, they share one. Words of a single node come first in the
     order and need not be listed.
     """
+    share = similar / (2 - similar)
     held = nodes.select("node", "size", F.explode("marks").alias("mark"))
     common = held.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     ranked = (
@@ -188,7 +232,7 @@ def rarest(nodes: DataFrame, similar: float) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("n", "mark"))).alias("ranked"))
     )
     single = F.col("size") - F.size("ranked")
-    first = F.col("size") - F.ceil(F.col("size") * similar - 1e-6) + 1 - single
+    first = F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1 - single
     return ranked.where(first > 0).select(
         "node", "size", F.explode(F.slice("ranked", F.lit(1), first.cast("int"))["mark"]).alias("key")
     )
@@ -239,14 +283,10 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
     keyed = saved(sketches.unionByName(rarest(nodes, similar)), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bucketed = saved(keyed.join(shared, "key"), "buckets")
-    # One text for each node that shares a bucket: rows equal in words are interchangeable.
-    texts = saved(
-        rows.select("node", "_text")
-        .join(bucketed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")
-        .groupBy("node")
-        .agg(F.min("_text").alias("_text"), F.min("keys").alias("keys")),
-        "texts",
-    )
+    # One text for each node that shares a bucket: rows equal in words are interchangeable. Copies are
+    # merged by the tasks that read them, so that no task gets all rows of a frequent text.
+    held_keys = bucketed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    texts = saved(rows.groupBy("node").agg(F.min("_text").alias("_text")).join(held_keys, "node"), "texts")
     # The node that meets most others leads its buckets: an original, say, rather than a copy.
     weight = bucketed.groupBy("node").agg(F.sum("n").alias("weight"))
     led = (
@@ -257,7 +297,7 @@ def near_links(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Da
     pairs = saved(
         bucketed.join(led, "key")
         .where("node != lead.node")
-        .where(F.least("size", "lead.size") >= similar * F.greatest("size", "lead.size") - 1e-6)
+        .where(F.least("size", "lead.size") >= similar / (2 - similar) * F.greatest("size", "lead.size") - 1e-6)
         .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         .distinct(),
         "pairs",
@@ -336,7 +376,7 @@ def shared_counts(sets: list) -> np.ndarray:
 def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, float]]:
     """Links between nodes of different parts of a cell, enough to join all parts that belong together.
 
-    Shared shingles of all pairs are counted at once, in matrices; only pairs
+    Shared words of all pairs are counted at once, in matrices; only pairs
     with enough of them are aligned. A pair is judged in its least common bucket.
     """
     key, low, high = (cell[c][0].as_py() for c in ("key", "low", "high"))
@@ -346,7 +386,7 @@ def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, fl
     if len(number) < 2:
         return []
     words = [words_of(x or b"") for x in cell["_text"].cast(pa.binary()).to_pylist()]
-    marks = [shingles(w) for w in words]
+    marks = [word_marks(w) for w in words]
     size = np.array([len(m) for m in marks])
     keys = [[k for k in x if k < key] for x in cell["keys"].to_pylist()]
     wanted = shared_counts(keys) == 0
@@ -354,7 +394,7 @@ def between_parts(cell: pa.Table, similar: float) -> list[tuple[bytes, bytes, fl
     wanted &= np.arange(len(nodes))[:, None] < np.arange(len(nodes))[None, :]
     if low != high:
         wanted &= block[:, None] != block[None, :]
-    needed = similar / (1 + similar) * (size[:, None] + size[None, :]) - 1e-6
+    needed = similar / 2 * (size[:, None] + size[None, :]) - 1e-6
     wanted &= np.minimum(size[:, None], size[None, :]) >= needed
     if not wanted.any():
         return []
