@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewheel.llm import classifier, common, extract, pii, rules, simhash
+from tidewheel.llm import classifier, common, extract, pieces, pii, rules, simhash
 from tidewheel.llm import queries as q
 
 
@@ -33,6 +33,36 @@ def test_classifier_on_rows_held_out(spark, middle):
     assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in rows)
 
 
+def test_word_vectors_by_hand(spark, odd):
+    rows = [("a b c a d",), ("b a",), (None,), ("",), ("c c zz",), ("a b c a d",)]
+    words, vectors = classifier.word_vectors(spark.createDataFrame(rows, "text string"), vocabulary=3)
+    assert words.of == {"a": 0, "c": 1, "b": 2}
+    index = np.zeros((words.size + classifier.HASHED, classifier.WIDTH))
+    for i, (places, signs) in enumerate(zip(words.places, words.signs)):
+        index[i, places] = signs
+    sums = np.zeros((3, classifier.WIDTH))
+    for (text,) in rows:
+        ids = words.ids((text or "").split())
+        for i, w in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i and w < 3:
+                    sums[w] += index[ids[j]]
+    assert vectors == pytest.approx(sums / np.linalg.norm(sums, axis=1, keepdims=True), abs=1e-6)
+    # A word outside the table has its contexts in the text.
+    text = "d a d".split()
+    ids = words.ids(text)
+    at, found = words.local(text, ids)
+    want = 2 * index[0] + 2 * index[ids[0]]
+    assert at.tolist() == [0, 2] and found[0] == pytest.approx(want / np.linalg.norm(want)) and (found[0] == found[1]).all()
+
+
+def test_a_repeated_id_gives_one_labelled_row(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "x"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], common.SCHEMAS["labels"])
+    assert sorted(map(tuple, common.labelled(docs, labels, 3).collect()), key=str) == [("t0", 1), ("x", 0), (None, 1)]
+    assert common.labelled(docs, labels, 2).count() == 2
+
+
 def test_rules_separate_bad_from_good(spark, middle):
     labels = labelled(middle)
     rows = [r for r in q.QUERIES["op5_quality_rules"](spark, middle).collect()]
@@ -55,6 +85,20 @@ def test_without_labels(spark, odd, middle):
     assert {r.score for r in classifier.score(odd, classifier.fit(odd, none)).collect()} == {0.5}
 
 
+def test_clashing_names_give_way(spark, odd):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], common.SCHEMAS["labels"])
+    made = {
+        "score": lambda d: classifier.score(d, classifier.fit(odd, labels)), "kept": lambda d: rules.judge(d, rules.fit(odd, labels)),
+        "SPANS": pii.find, "fingerprint": simhash.fingerprints, "ids": lambda d: pieces.encode(d, q.tokenizer()),
+        "text": lambda d: extract.extract(d.withColumn("html", F.col("text"))),
+    }
+    for name, make in made.items():
+        df = make(odd.withColumn(name, F.col("text") if name == "text" else F.array(F.lit("clash"))))
+        lower = [c.lower() for c in df.columns]
+        assert len(lower) == len(set(lower)) and df.count() == odd.count()
+        assert all(x[0] != ["clash"] for x in df.select(name).collect())
+
+
 def test_odd_rows_and_empty_tables(spark, odd, middle):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
     network, model = classifier.fit(odd, labels), rules.fit(odd, labels)

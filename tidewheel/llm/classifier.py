@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Words are runs of letters and digits, or of other marks, as written. Each of the
-``vocabulary`` most frequent words of the labelled sample has a random index vector
-with a few entries of +1 or -1; a word's vector is the sum of the index vectors of
-the words near it, brought to length one. All other words share a vector per
-shape (capitals, small letters, digits, marks and so on), learnt the same way.
+Words are runs of letters and digits, or of other marks, as written. Every word has a
+random index vector with a few entries of +1 or -1, and a word's vector is the sum of the index
+vectors of the words near it, brought to length one. Words are counted over all documents; for the
+``VOCABULARY`` most frequent ones the sums run over all documents too, and their vectors are sent to
+the workers. Any other word has the sum over the text at hand, which for the rarest words,
+those of one text, is the same. Index vectors of words outside the table are chosen by a hash of
+the word among ``HASHED``, so neither counts nor vectors rest on the labelled rows.
 A text is the mean of its words' vectors with the mean's length, the share of
 different words and the logarithm of the number of words. A network with one hidden layer is
 trained in numpy; a temperature fitted on rows held back makes its output a
@@ -18,6 +20,7 @@ Equal texts have equal scores. Without labels of both kinds every score is 0.5.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,56 +33,66 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import append, labelled, prepare
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-SHAPES = 6
-#: Labelled rows used, words with vectors of their own, entries, nonzero entries, window.
-FIT_ROWS, VOCABULARY, WIDTH, NONZERO, NEAR = 4000, 12_000, 48, 4, 2
+#: Labelled rows used, words with vectors of their own, index vectors of other words, entries, nonzero entries, window.
+FIT_ROWS, VOCABULARY, HASHED, WIDTH, NONZERO, NEAR = 4000, 30_000, 4096, 48, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.01, 1e-3
 ACCEPT = 0.7
 #: Words are pooled so many at a time.
 BLOCK = 1 << 14
-#: Words whose vectors are summed in one group, so that no partial sum of all of them reaches the driver.
-SLICE = 256
-
-
-def shape_of(word: str) -> int:
-    """0 small letters, 1 capitals, 2 a capital first, 3 digits, 4 mixed, 5 marks."""
-    if not word[0].isalnum():
-        return 5
-    if word.isdigit():
-        return 3
-    if word.islower():
-        return 0
-    if word.isupper():
-        return 1 if len(word) > 1 else 2
-    return 2 if word[0].isupper() and word[1:].islower() else 4
+#: Distinct words a task counts before it passes them on.
+COUNTED = 400_000
 
 
 class Words:
-    """Numbers of words: shapes first, then the vocabulary; and their index vectors."""
+    """Numbers of words, the vocabulary's first, then those by hash; and their index vectors."""
 
     def __init__(self, vocabulary: list[str]):
-        self.of = {w: i for i, w in enumerate(vocabulary, start=SHAPES)}
-        self.size = SHAPES + len(vocabulary)
+        self.of = {w: i for i, w in enumerate(vocabulary)}
+        self.size = len(vocabulary)
         rng = np.random.default_rng(8)
-        self.places = np.argsort(rng.random((self.size, WIDTH)), axis=1)[:, :NONZERO]
-        self.signs = rng.choice([-1.0, 1.0], (self.size, NONZERO))
+        every = self.size + HASHED
+        self.places = np.argsort(rng.random((every, WIDTH)), axis=1)[:, :NONZERO]
+        self.signs = rng.choice([-1.0, 1.0], (every, NONZERO))
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get = self.of.get
+        get, size, crc = self.of.get, self.size, zlib.crc32
         found = [get(w) for w in words]
-        return np.array([shape_of(w) if i is None else i for i, w in zip(found, words)], np.int64)
+        return np.array([size + crc(w.encode()) % HASHED if i is None else i for i, w in zip(found, words)], np.int64)
+
+    def summed(self, rows: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
+        """For each of ``size`` rows the sum of the index vectors of the words ``near`` it, as one flat array."""
+        out = np.zeros(size * WIDTH)
+        for j in range(NONZERO):
+            out += np.bincount(rows * WIDTH + self.places[near, j], self.signs[near, j], len(out))
+        return out
 
     def contexts(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Sums of the index vectors near each word of the texts, as one flat array."""
+        """Sums over the texts for the words of the vocabulary, as one flat array."""
         out = np.zeros(self.size * WIDTH)
         for step in range(1, NEAR + 1):
             left = np.concatenate([ids[:-step] for ids in texts])
             right = np.concatenate([ids[step:] for ids in texts])
             for a, b in ((left, right), (right, left)):
-                for j in range(NONZERO):
-                    out += np.bincount(a * WIDTH + self.places[b, j], self.signs[b, j], len(out))
+                known = a < self.size
+                out += self.summed(a[known], b[known], self.size)
         return out
 
+    def local(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one text: where words outside the vocabulary stand, and their vectors from the text itself."""
+        at = np.flatnonzero(ids >= self.size)
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(words[i], len(number)) for i in at.tolist()], np.int64)
+        sums = np.zeros(len(number) * WIDTH)
+        for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
+            near = at + step
+            inside = (near >= 0) & (near < len(ids))
+            sums += self.summed(which[inside], ids[near[inside]], len(number))
+        return at, unit(sums.reshape(-1, WIDTH))[which]
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
 
 @dataclass
 class Network:
@@ -95,8 +108,11 @@ class Network:
         out = np.zeros(WIDTH + 3)
         if words:
             ids = self.words.ids(words)
-            for at in range(0, len(ids), BLOCK):
-                out[:WIDTH] += self.vectors[ids[at : at + BLOCK]].sum(0)
+            known = ids[ids < self.words.size]
+            for at in range(0, len(known), BLOCK):
+                out[:WIDTH] += self.vectors[known[at : at + BLOCK]].sum(0)
+            if len(known) < len(ids):
+                out[:WIDTH] += self.words.local(words, ids)[1].sum(0)
             out[:WIDTH] /= len(ids)
             out[WIDTH] = np.linalg.norm(out[:WIDTH])
             out[WIDTH + 1] = len(set(words)) / len(words)
@@ -143,30 +159,35 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows: int = FIT_ROWS
-) -> Network:
-    """Vectors and network from at most ``rows`` labelled documents that ``allowed`` lets in."""
+def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY) -> tuple[Words, np.ndarray]:
+    """The ``vocabulary`` most frequent words of all documents, and their vectors from all documents.
+
+    Whole numbers are summed, so any order gives the same vectors; what reaches the driver is
+    bounded by ``vocabulary``.
+    """
     spark = docs.sparkSession
-    sample = labelled(docs, labels, rows, allowed)
     prepare(spark)
 
+    def emit(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 counts.update(TOKEN.findall(x or ""))
+            if len(counts) > COUNTED:
+                yield emit(counts)
+                counts = Counter()
         if counts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-            )
-
-    top = (
-        sample.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    )
-    words = Words([r["word"] for r in top])
+            yield emit(counts)
+
+    counted = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = Words([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()])
     sent = spark.sparkContext.broadcast(words)
+    entries = [f"c{i}" for i in range(WIDTH)]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = sent.value, None
@@ -175,26 +196,31 @@ def fit(
             if texts:
                 sums = (0 if sums is None else sums) + known.contexts(texts)
         if sums is not None:
-            parts = [sums[i : i + SLICE * WIDTH].tobytes() for i in range(0, len(sums), SLICE * WIDTH)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"]
-            )
-
-    def total(rows: pa.Table) -> pa.Table:
-        whole = np.sum([np.frombuffer(x) for x in rows["sums"].to_pylist()], axis=0)
-        return pa.table([rows["slice"].slice(0, 1), pa.array([whole.tobytes()], pa.binary())], names=["slice", "sums"])
-
-    # One row per slice from each of the sample's few files; whole numbers, so any order gives the same sums.
-    summed = sample.select("text").coalesce(8).mapInArrow(near, "slice int, sums binary")
-    summed = summed.groupBy("slice").applyInArrow(total, "slice int, sums binary")
-    vectors = np.zeros(words.size * WIDTH)
-    for r in summed.collect():
-        part = np.frombuffer(r["sums"])
-        vectors[r["slice"] * SLICE * WIDTH :][: len(part)] = part
+            sums = sums.reshape(-1, WIDTH).astype(np.int64)
+            seen = np.flatnonzero(sums.any(1))
+            for at in range(0, len(seen), BLOCK):
+                ids = seen[at : at + BLOCK]
+                columns = [pa.array(ids, pa.int32()), *[pa.array(c) for c in np.ascontiguousarray(sums[ids].T)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *entries])
+
+    partial = docs.select(text).mapInArrow(near, "id int, " + ", ".join(f"{c} bigint" for c in entries))
+    total = partial.groupBy("id").agg(*[F.sum(c).cast("double").cast("float").alias(c) for c in entries]).toArrow()
     sent.destroy()
-    vectors = vectors.reshape(-1, WIDTH)
-    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    network = Network(words, vectors.astype(np.float32), np.zeros(WIDTH + 3), np.ones(WIDTH + 3), None, 1.0)
+    vectors = np.zeros((words.size, WIDTH), np.float32)
+    ids = total["id"].to_numpy()
+    for i, c in enumerate(entries):
+        vectors[ids, i] = total[c].to_numpy()
+    return words, unit(vectors).astype(np.float32)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, rows: int = FIT_ROWS, vocabulary: int = VOCABULARY
+) -> Network:
+    """Word vectors from all documents, and a network from at most ``rows`` labelled ones that ``allowed`` lets in."""
+    spark = docs.sparkSession
+    sample = labelled(docs, labels, rows, allowed)
+    words, vectors = word_vectors(docs, "text", vocabulary)
+    network = Network(words, vectors, np.zeros(WIDTH + 3), np.ones(WIDTH + 3), None, 1.0)
     held = spark.sparkContext.broadcast(network)
 
     def make():

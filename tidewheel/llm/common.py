@@ -51,11 +51,14 @@ def append(
     """``df`` with columns that Python adds, a batch of rows at a time.
 
     ``make`` runs once per task and returns a function from the input columns,
-    as Arrow arrays, to one list or array per field of ``fields``.
+    as Arrow arrays, to one list or array per field of ``fields``. A column of ``df``
+    with the name of an added one, in any case, gives way to it.
     """
     prepare(df.sparkSession)
     added = T.StructType.fromDDL(fields)
-    schema = T.StructType([*df.schema.fields, *added.fields])
+    new_names = {f.name.lower() for f in added.fields}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in new_names]
+    schema = T.StructType([*[df.schema.fields[i] for i in kept], *added.fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
@@ -70,7 +73,7 @@ def append(
             work = work or make()
             new = work(*[batch.column(i) for i in at])
             new = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -109,7 +112,8 @@ def labelled(
     """``text`` and ``y`` (0 or 1) of at most ``rows`` labelled documents, those with the least hash of their id.
 
     Only for fitting. Ids labelled twice count with their lower label; labels
-    other than 0 and 1, and ids without a document, do not count. The result is
+    other than 0 and 1, and ids without a document, do not count. Of documents that share
+    an id the least text counts, so ``rows`` bounds rows, not ids. The result is
     saved in a few files, whatever its source.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -123,4 +127,5 @@ def labelled(
     )
     # At most `rows` pairs of numbers, so they may be sent to every task.
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return saved(found.select("text", "y").repartition(8), "labelled")
