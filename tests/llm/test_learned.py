@@ -1,6 +1,7 @@
 """Operators that learn or extract: held-out accuracy, cases by hand, odd rows, the pipeline."""
 import html as markup
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -141,6 +142,32 @@ def test_names_and_forms_do_not_drop_the_article(page):
     assert extract.main_text(page) == READ
 
 
+@pytest.mark.parametrize("name", (
+    "right-sidebar comments-list user-comments comment-list reader-comments site-footer main-nav share-buttons post-comments "
+    "comments_area ad-slot sponsored-content related-posts newsletter-box sidebar cookie-banner").split())
+def test_blocks_with_such_names_go(name):
+    other = "<p>these are words of another block, not of the article</p>" * 3
+    for place in ("class", "id"):
+        assert extract.main_text(f"<body><div class=content>{ARTICLE}</div><div {place}='{name}'>{other}</div>") == READ
+        assert extract.main_text(f"<body><div {place}='{name}'>{other * 2}</div><div>{ARTICLE}</div>") == READ
+
+
+def test_the_headings_of_an_articles_header_stay():
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>by A. B., 3 min</p></header><p>text of the article here</p></article>"
+    assert extract.main_text(page) == "Title text of the article here"
+
+
+def test_ends_without_starts_cost_nothing():
+    for page in (
+        "<div>" * 20_000 + "</p>" * 20_000 + "deep", "<b>" * 20_000 + "</i>" * 20_000 + "deep", "<b>" * 20_000 + "<div></div>" * 8_000 + "deep",
+        "<p><table>" + "<b>" * 20_000 + "<div></div>" * 8_000 + "deep", "<ul>" + "<b>" * 20_000 + "</ul></li>" * 20_000 + "deep",
+        "<b>" * 20_000 + "<td></td>" * 8_000 + "deep",
+    ):
+        start = time.process_time()
+        assert extract.main_text(page) == "deep"
+        assert time.process_time() - start < 3
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_pages_by_hand(page):
     assert extract.main_text(page) == PAGES[page]
@@ -152,6 +179,8 @@ def test_pages_keep_the_whole_article(spark, middle):
         inner = re.sub(r"</?b>", "", re.search(r"(?s)<article>(.*?)</article>", page)[1])
         text = " ".join(markup.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert got[key].text == text and got[key].n_chars == len(text)
+        # The density finds it too.
+        assert extract.main_text(re.sub("(</?)(article|main)", r"\1div", page)) == text
     assert extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 

@@ -1,9 +1,11 @@
 """Main text of a page by composite text density.
 
 A page becomes a tree; what is never article text (scripts, menus, page headers and so
-on, told by tag) is left out with all below it. Forms, and nodes whose role or class or
-id names an advert, a sidebar, readers' comments or the like, are in doubt: they are
-left out too, unless the page's text is in them (see :func:`without_doubtful`). Every node then has a density: characters per tag,
+on, told by tag) is left out with all below it. Forms, and nodes whose role or a word of whose class or
+id names an advert, a sidebar, readers' comments or the like, are in doubt: comments are left out, and
+so are the others where enough text stands outside them (see :func:`without_doubtful`); a word that
+is denied or only mentioned, as in has-sidebar or comments-open, does not count. Of an article's
+own header the headings are text. Every node then has a density: characters per tag,
 adjusted by the share of linked characters,
 
     C/T * log(C/LC * T/LT) to the base ln(C/(C-LC) * LC + LCb/Cb * C + e)
@@ -26,6 +28,7 @@ equal texts; other columns are carried along.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 from math import e, log
 
@@ -53,6 +56,10 @@ UNWANTED = set(
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COMMENTS = set("comment comments disqus replies reply respond".split())
+#: Words beside which a word of a class or id says what a page has, not what the node is.
+MENTIONS = set("closed disabled enabled has hide no off on open opened show with without".split())
+#: Least share of a page's text outside links that doubtful nodes must leave to be left out.
+LEFT = 0.1
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
@@ -71,7 +78,7 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
-    """Words that speak against a node. Of a compound name all must do so: not has-sidebar, comments-open."""
+    """Words that speak against a node, those of names that only mention something left aside."""
     if tag in ("html", "body", "main"):
         return set()
     barred = COMMENTS if tag == "article" else UNWANTED
@@ -80,8 +87,8 @@ def doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
         if name in ("class", "id"):
             for token in (value or "").lower().split():
                 words = set(WORD.findall(token))
-                if words <= barred:
-                    found |= words
+                if not words & MENTIONS:
+                    found |= words & barred
         elif name == "role" and (value or "").lower() in ROLES:
             found.add("role")
     return found
@@ -98,6 +105,9 @@ class Page(HTMLParser):
         self.closed_off = 0  # open nodes that are left out
         self.left_out: dict[int, str] = {}  # their tags; they have negative numbers
         self.doubts: dict[int, set[str]] = {}
+        # Places among the open nodes: of each tag, of blocks, and of blocks but paragraphs.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.walls = [0], [0]
         self.feed(html)
         self.close()
         while len(self.open) > 1:
@@ -106,29 +116,48 @@ class Page(HTMLParser):
 
     def _pop(self) -> None:
         node = self.open.pop()
+        self.places[self._tag(node)].pop()
+        for stack in (self.blocks, self.walls):
+            if stack[-1] == len(self.open):
+                stack.pop()
         if node < 0:
             self.closed_off -= 1
         else:
             self.last[node] = len(self.tags) - 1
 
+    def _push(self, node: int) -> None:
+        tag = self._tag(node)
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+            if tag != "p":
+                self.walls.append(len(self.open))
+        self.open.append(node)
+
     def _tag(self, node: int) -> str:
         return self.tags[node] if node >= 0 else self.left_out[node]
 
+    def _nearest(self, tags) -> int:
+        """The place of the innermost open node of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._end_implied(tag)
-        if self.closed_off or unwanted(tag, attrs):
+        # An article's header is looked into for its headings.
+        own = tag == "header" and not self.closed_off and self.places["article"]
+        if self.closed_off or (unwanted(tag, attrs) and not own):
             if tag not in VOID:
                 self.left_out[-len(self.open)] = tag
-                self.open.append(-len(self.open))
+                self._push(-len(self.open))
                 self.closed_off += 1
             return
         if tag == "br" or tag in VOID:
             self._add(tag)
             self.last[-1] = len(self.tags) - 1
             return
-        self.open.append(self._add(tag))
+        self._push(self._add(tag))
         doubts = doubtful(tag, attrs)
-        if doubts:
+        if doubts and not own:
             self.doubts[self.open[-1]] = doubts
 
     def _add(self, tag: str) -> int:
@@ -142,39 +171,30 @@ class Page(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _close_at(self, at: int) -> None:
+        while len(self.open) > at:
+            self._pop()
+
     def _end_implied(self, tag: str) -> None:
         """A block ends an open paragraph; list items and cells end their like."""
         if tag in CLOSES:
-            for at in range(len(self.open) - 1, 0, -1):
-                name = self._tag(self.open[at])
-                if name in CLOSES[tag]:
-                    while len(self.open) > at:
-                        self._pop()
-                    break
-                if name in SCOPES.get(tag, ()):
-                    break
+            at = self._nearest(CLOSES[tag])
+            if at > self._nearest(SCOPES.get(tag, ())):
+                self._close_at(at)
         elif tag not in INLINE and tag not in VOID and tag not in ("script", "style"):
-            for at in range(len(self.open) - 1, 0, -1):
-                name = self._tag(self.open[at])
-                if name == "p":
-                    while len(self.open) > at:
-                        self._pop()
-                    break
-                if name not in INLINE:
-                    break
+            if self._tag(self.open[self.blocks[-1]]) == "p":
+                self._close_at(self.blocks[-1])
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self._tag(self.open[at])
-            if name == tag:
-                while len(self.open) > at:
-                    node = self.open[-1]
-                    self._pop()
-                    if node > 0 and self.tags[node] not in INLINE:
-                        self.texts.append((self.open[-1] if self.open[-1] >= 0 else node, " "))
-                break
-            if tag in INLINE and name not in INLINE and name != "p":
-                break
+        at = self._nearest((tag,))
+        # An inline end does not reach out of a block; an end without a start is nothing.
+        if not at or (tag in INLINE and self.walls[-1] > at):
+            return
+        while len(self.open) > at:
+            node = self.open[-1]
+            self._pop()
+            if node > 0 and self.tags[node] not in INLINE:
+                self.texts.append((self.open[-1] if self.open[-1] >= 0 else node, " "))
 
     def handle_data(self, data: str) -> None:
         if not self.closed_off:
@@ -245,11 +265,32 @@ def without(page: Page, nodes: set[int]) -> Page:
     return out
 
 
+def own_text(page: Page) -> int:
+    """Characters outside links."""
+    linked = [False] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        linked[i] = linked[page.parents[i]] or page.tags[i] == "a"
+    return sum(len(t.strip()) for i, t in page.texts if not linked[i])
+
+
+def with_headings_only(page: Page) -> Page:
+    """The page with the headings of articles' headers, and without what else these hold."""
+    inside = [0] * len(page.tags)  # 1 in a header, 2 in a heading of one
+    for i in range(1, len(page.tags)):
+        inside[i] = inside[page.parents[i]] or int(page.tags[i] == "header")
+        if inside[i] and page.tags[i] in HEADINGS:
+            inside[i] = 2
+    if any(inside):
+        page.texts = [(i, " " if inside[i] == 1 else t) for i, t in page.texts]
+    return page
+
+
 def without_doubtful(page: Page) -> Page:
     """The page without its doubtful nodes, except those that the page's text is in.
 
     A node stays that holds an ``article`` or ``main``, if no other stands outside all doubtful
-    nodes. First comments go; of what is left, nodes stay that hold the node with the largest
+    nodes. First comments go. Then all other doubtful nodes go, if they leave the share ``LEFT`` of
+    the text outside links; if not, nodes stay that hold the node with the largest
     sum of densities, or most of the text. If no text would be left, all nodes stay.
     """
     if not page.doubts:
@@ -269,22 +310,26 @@ def without_doubtful(page: Page) -> Page:
         page.doubts.pop(i, None)
     rest = without(page, {i for i, d in page.doubts.items() if d & COMMENTS})
     if rest.doubts:
-        best = densest(rest)[3]
-        chars = [0] * len(rest.tags)
-        for i, text in rest.texts:
-            chars[i] += len(text.strip())
-        for i in range(len(chars) - 1, 0, -1):
-            chars[rest.parents[i]] += chars[i]
-        rest = without(
-            rest, {i for i in rest.doubts if not i <= best <= rest.last[i] and 2 * chars[i] <= chars[0]}
-        )
+        clear = without(rest, set(rest.doubts))
+        if own_text(clear) > LEFT * own_text(rest):
+            rest = clear
+        else:
+            best = densest(rest)[3]
+            chars = [0] * len(rest.tags)
+            for i, text in rest.texts:
+                chars[i] += len(text.strip())
+            for i in range(len(chars) - 1, 0, -1):
+                chars[rest.parents[i]] += chars[i]
+            rest = without(
+                rest, {i for i in rest.doubts if not i <= best <= rest.last[i] and 2 * chars[i] <= chars[0]}
+            )
     return rest if any(t.strip() for _, t in rest.texts) else page
 
 
 def main_text(html: str) -> str:
     if not html:
         return ""
-    page = without_doubtful(Page(html))
+    page = without_doubtful(with_headings_only(Page(html)))
     n = len(page.tags)
     body, density, sums, best = densest(page)
     threshold, at = density[best], best
