@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The patterns give the base spans (email, ip, card, phone), which stay. The field
-looks at the stretches of a text that hold a digit or ``@``; everything else
+looks at the stretches of a text that hold a digit, ``@`` or a cue (a word like password or token,
+then ``:`` or ``=``, and a value); everything else
 is outside by definition. Over the tokens of a stretch, each candidate segment
 of at most ``LONGEST`` tokens has features of the whole span: its form, its
 numbers of digits and groups, checks such as Luhn's, what stands before and
@@ -26,14 +27,21 @@ from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import append
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
 #: Tokens of a segment at most; longest stretch of context read before one.
 LONGEST, CONTEXT = 14, 24
-EXAMPLES, EPOCHS, RATE, DECAY = 420, 10, 0.3, 1e-4
-
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-EVIDENCE = re.compile(r"[0-9@]")
+EXAMPLES, EPOCHS, RATE, DECAY = 980, 8, 0.3, 1e-4
+
+# A token of three dotted parts, or with a short prefix and an underscore, is one token.
+TOKEN = re.compile(
+    r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[A-Za-z]{2,4}_[A-Za-z0-9]{16,}|[^\W_]+|[^\w\s]|_"
+)
+_CUE = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']"
+CUE = re.compile(_CUE)
+EVIDENCE = re.compile(rf"[0-9@]|{_CUE}")
+MARKED = re.compile(r"[0-9@]")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A run of digits is taken from its start, which is where the leftmost match begins.
@@ -85,13 +93,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Runs without white space that hold a digit or ``@``, joined across single spaces."""
+    """Runs without white space that hold a digit, ``@`` or a cue, joined across single spaces."""
     out: list[tuple[int, int]] = []
     done = 0
     for m in EVIDENCE.finditer(text):
         if m.start() < done:
             continue
         start, end = m.start(), m.end()
+        # A cue may reach over spaces to its value.
         while start > done and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and not text[end].isspace():
@@ -107,11 +116,12 @@ def stretches(text: str) -> list[tuple[int, int]]:
 def segments(text: str, start: int, end: int) -> tuple[list[re.Match], list[tuple[int, int]]]:
     """The tokens of a stretch, and the candidates as first and last token."""
     tokens = list(TOKEN.finditer(text, start, end))
-    firsts = [t[0].isalnum() or t[0] in "+(" for t in tokens]
-    lasts = [t[0].isalnum() for t in tokens]
+    firsts = [t[0][0].isalnum() or t[0] in "+(" for t in tokens]
+    lasts = [t[0][-1].isalnum() for t in tokens]
+    values = {m.end() - 1 for m in CUE.finditer(text, start, end)}
     marked = [0]
     for t in tokens:
-        marked.append(marked[-1] + bool(EVIDENCE.search(t[0])))
+        marked.append(marked[-1] + (t.start() in values or bool(MARKED.search(t[0]))))
     out = []
     for j in range(len(tokens)):
         if lasts[j]:
@@ -141,7 +151,10 @@ def features(text: str, start: int, end: int) -> list[str]:
         side[1] = "_"
     if side[0] in "(\"'":
         side[0] = "_"
+    beside = before.rstrip()[-1:]
+    marks = "".join(sorted({c for c in span if not c.isalnum()}))[:6]
     out = [
+        f"marks={marks}:{n > 0}", f"sizes={'.'.join(map(str, groups[:6]))}", f"after={beside if beside in ':=' else ''}:{cue[-1].lower() if cue else ''}",
         "bias", f"form={form[:24]}", f"digits={min(n, 21)}", f"groups={len(groups)}:{max(groups, default=0)}",
         f"left={side[0]}", f"right={side[1]}", f"around={side[0]}{side[1]}", f"long={min(longest // 6, 6)}",
         f"cue={cue[-1].lower() if cue else ''}", f"first={form[:1]}{min(groups[0], 5) if groups else 0}",
@@ -153,6 +166,15 @@ def features(text: str, start: int, end: int) -> list[str]:
         out += [f"number={n}", f"luhn={luhn(''.join(digits))}", f"even={len(set(groups)) == 1}"]
     if form.count(".") == 3 and len(groups) == 4 and form == "d.d.d.d":
         out.append(f"quad={all(len(g) < 4 and int(g) < 256 for g in span.split('.'))}")
+    if not n:
+        out.append(f"letters={min(size // 4, 6)}:{span.isalpha()}")
+    if n and span[:2].isupper() and IBAN.fullmatch(span):
+        digits97 = "".join(str(int(c, 36)) for c in span[4:].replace(" ", "") + span[:4])
+        out.append(f"iban={int(digits97) % 97 == 1}")
+    if size >= 16 and span.count(".") == 2 and span.startswith("eyJ"):
+        out.append("dotted")
+    if size >= 20 and "_" in span[2:5] and span.replace("_", "", 1).isalnum():
+        out.append("prefixed")
     if size >= 20 and span.isalnum() and 0 < n < size:
         hexa = all(c in "0123456789abcdefABCDEF" for c in span)
         out += [f"mixed={min(size // 8, 5)}", f"hex={hexa}:{size >= 32}"]
@@ -213,6 +235,28 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
         size, abc = pick(32, 40, 40, 64), pick("0123456789abcdef", "0123456789abcdef", letters + "0123456789ABCDEFGHJK")
         return mixed(size - 2, abc) + pick("4", "7") + pick("a", "c")
 
+    def token() -> str:
+        abc = letters + letters.upper() + "0123456789"
+        return pick(
+            lambda: "AKIA" + mixed(15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") + "Q7", lambda: pick("ghp_", "gho_", "sk_", "xox_") + mixed(34, abc) + "a7",
+            lambda: ".".join(["eyJ" + mixed(17, abc) + "1x", "eyJ" + mixed(30, abc) + "2z", mixed(40, abc + "-_") + "k3"]),
+        )()
+
+    def phrase() -> str:
+        return pick(word() + word() + word() + "ab", word() + "-" + word() + num(2), word().title() + num(3) + "!x", word() + "_" + word() + "ty")
+
+    def iban() -> str:
+        body, land = num(18), pick("DE", "FR", "GB", "NL", "ES")
+        body = body if land == "DE" else "".join(pick(*"ABCDEFGHK") for _ in range(4)) + num(14)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        whole = f"{land}{check:02d}{body}"
+        return pick(whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)))
+
+    pair = lambda: mixed(2, "0123456789abcdef")
+    date = lambda: pick(f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(2)}.{num(2)}.20{num(2)}")
+    hour = lambda: pick(f"{num(2)}:{num(2)}", f"{num(2)}:{num(2)}:{num(2)}")
+    thousands = lambda: f"{num(pick(1, 2, 3))}" + "".join(pick(",") + num(3) for _ in range(pick(1, 2, 3, 4)))
+
     def number16() -> str:
         d = num(pick(16, 16, 16, 19))
         return pick(d, d, *([d[:4] + s + d[4:8] + s + d[8:12] + s + d[12:] for s in " -"]))
@@ -226,10 +270,14 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
             f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}",
             f"+{num(2)} {num(3)} {num(7)}", f"+{num(2)}-{num(3)}-{num(3)}-{num(3)}", f"+{num(11)}",
         ),
-        "secret": secret,
+        "secret": lambda: pick(secret, token)(),
+        "ssn": lambda: f"{num(3)}-{num(2)}-{num(4)}",
+        "iban": iban,
     }
-    cues = {"secret": ("token = ", "token: ", "api_key = ", "secret=", "password: ", "key "), "card": ("card ", "", "", ""),
-            "phone": ("call ", "phone ", "tel ", "", ""), "email": ("mail ", "to ", "", ""), "ip": ("host ", "from ", "", "")}
+    cues = {"secret": ("token = ", "token: ", "api_key = ", "secret=", "password: ", "key ", "bearer ", word().upper() + "=", ""), "card": ("card ", "", "", ""),
+            "phone": ("call ", "phone ", "tel ", "", ""), "email": ("mail ", "to ", "", ""), "ip": ("host ", "from ", "", ""),
+            "ssn": ("ssn ", "ssn: ", "social security number ", "", ""), "iban": ("iban ", "iban: ", "to account ", "", "")}
+    said = ("password: ", "password = ", "passwd: ", "pwd=", "secret: ", "passphrase: ", "token: ")
     bad = (
         lambda: num(pick(1, 2, 3, 4, 5, 6, 8, 10, 12)), lambda: str(int(rng.integers(1900, 2030))),
         lambda: f"{num(1)}.{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: f"{num(1)}.{num(1)}.{num(2)}",
@@ -239,6 +287,16 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
         lambda: f"({num(2)})", lambda: f"{num(3)}-{num(4)}", lambda: f"{num(4)}-{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}",
         lambda: f"{word()} @ {num(2)}", lambda: f"{num(4)} {num(4)}", lambda: f"#{num(5)}", lambda: mixed(8, "0123456789abcdef") + "1",
         lambda: f"{num(3)} {num(3)}", lambda: f"{num(10)}-{num(3)}",
+        thousands, thousands, lambda: pick("$", "EUR ", "") + thousands() + pick("", f".{num(2)}"),
+        lambda: pick(":", "-").join(pair() for _ in range(6)), lambda: ":".join(pair() for _ in range(6)).upper(),
+        lambda: ":".join(mixed(pick(1, 4, 4), "0123456789abcdef") for _ in range(8)),
+        lambda: "fe80::" + ":".join(mixed(4, "0123456789abcdef") for _ in range(pick(1, 3, 4))), lambda: f"2001:db{num(1)}::{num(pick(1, 2))}",
+        lambda: f"{hour()} {date()}", lambda: f"{date()} {hour()}", lambda: f"{date()}T{num(2)}:{num(2)}:{num(2)}Z", lambda: f"{date()} - {date()}",
+        date, hour, lambda: f"{hour()}-{hour()}", lambda: f"{num(2)}:{num(2)} to {num(2)}:{num(2)}",
+        lambda: ", ".join(num(pick(1, 2, 3)) for _ in range(4)), lambda: " ".join(num(2) for _ in range(pick(3, 5))),
+        lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: f"{num(2)}.{num(4)}, -{num(2)}.{num(4)}", lambda: f"{num(1)}x{num(1)}x{num(2)}",
+        lambda: f"{num(4)}-{num(4)} {word()}", lambda: f"({num(4)})", lambda: f"{word()}={num(pick(1, 2, 3))}", lambda: f"{num(2)}-{num(2)}",
+        lambda: f"token: {pick('a', 'the', 'no')} {word()}", lambda: f"{word()}: {word()}", lambda: f"key = {num(2)}", lambda: f"secret: {pick('it', 'a', 'he')} {word()}",
     )
     out = []
     for i in range(n):
@@ -246,9 +304,10 @@ def examples(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
         for _ in range(2):
             if i % 2 == 0:
                 kind = KINDS[(i // 2 + _) % len(KINDS)]
-                text += pick(*cues[kind])
+                spoken = kind == "secret" and rng.random() < 0.4
+                text += pick(*(said if spoken else cues[kind]))
                 quote = pick("", "", '"') if kind == "secret" else ""
-                body = good[kind]()
+                body = phrase() if spoken else good[kind]()
                 at = len(text) + len(quote)
                 spans.append((kind, at, at + len(body)))
                 text += quote + body + quote
