@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,24 +164,43 @@ def test_base_scores_by_hand(spark, small, texts, odd):
 
 
 def test_class_probabilities_sum_to_one_and_beat_single_words(spark, middle):
-    docs = common.table(spark, middle, "documents").select("text").limit(150)
+    docs = common.table(spark, middle, "documents").where("doc_id < 150").select("doc_id", "text")
     counts = brown.word_counts(docs)
-    model = brown.fit(counts, docs, words=60, pools=20, classes=8)
-    total = 0.0
+    model, placed = brown.fit(counts, docs, words=60, pools=20, classes=8)
     step, mass = 10**model.step, 10**model.mass
     assert step.sum(1) == pytest.approx([1] * len(step))
-    words = [(bytes(r.word), r.n) for r in counts.collect()]
-    kinds = model.kind[model.types([w for w, _ in words])]
+    rows = {bytes(r.word): (r.n, r.kind) for r in placed.collect()}
+    assert {w: n for w, (n, _) in rows.items()} == {bytes(r.word): r.n for r in counts.collect()}
     for c in range(1, 8):
-        total = sum(n + 1 for (w, n), k in zip(words, kinds) if k == c) + 1
-        assert total == pytest.approx(mass[c])
+        assert sum(n + 1 for n, k in rows.values() if k == c) + 1 == pytest.approx(mass[c])
+    # The transitions are those of all words in the classes they chose, counted anew.
+    grid = np.zeros((8, 8))
+    texts = [brown.tokens((r.text or "").encode()) for r in docs.collect()]
+    for toks in texts:
+        seq = model.kind[model.types([brown.END, *toks[:-1]])]
+        for a, w in zip(seq, toks):
+            grid[a, rows[w][1]] += 1
+    share = mass / mass.sum()
+    assert step == pytest.approx((grid + brown.SMOOTHING * share) / (grid.sum(1, keepdims=True) + brown.SMOOTHING), rel=1e-6)
+    # Words chose for themselves: pools do not stay together.
+    pools = {}
+    for w, (_, k) in rows.items():
+        if w not in model.types.of:
+            pools.setdefault(zlib.crc32(w[-3:]) % 20, set()).add(k)
+    assert model.steps and max(map(len, pools.values())) > 1
+    # Scores are the sums of these logarithms, whether words are sent or joined.
+    for held in (10, 10**6):
+        got = {r.doc_id: r.score for r in brown.score(docs, F.lit(True), held=held, words=60, pools=20, classes=8).collect()}
+        for r in docs.collect():
+            toks = brown.tokens((r.text or "").encode())
+            seq = model.kind[model.types([brown.END, *toks[:-1]])]
+            want = sum(model.step[a, rows[w][1]] - model.mass[rows[w][1]] + math.log10(rows[w][0] + 1) for a, w in zip(seq, toks))
+            assert got[r.doc_id] == pytest.approx(want, abs=1e-5)
     rows = [r for r in q.QUERIES["op3_brown_lm"](spark, middle).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_exchange_never_lowers_the_likelihood():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     pairs = np.zeros((13, 13))
     for a in range(1, 13):  # odd types follow even ones

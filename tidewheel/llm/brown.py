@@ -1,19 +1,25 @@
 """Class-based bigram scores in Brown's form, with classes found by exchange.
 
 The probability of a word after another is that of its class after the other's
-class, times that of the word in its class. Every word has a class: the
-``words`` most frequent words have a *type* each, and all others share
-``pools`` types by a hash of their last three bytes. Type bigrams are counted
-over all training text; the exchange algorithm moves one type after the other to
-the class that raises the likelihood most, until a sweep moves none or
-``sweeps`` are done. What it works on is bounded by the number of types.
+context, times that of the word in its class. Every word has a class of its own choice, found by
+exchange: the class that raises the likelihood most, given what stands before the word.
+
+The number of classes grows with the fourth root of the number of words. The exchange starts with the
+``words`` most frequent words, and all others pooled by a hash of their last three bytes:
+bigrams of these types are counted, and types move one after the other until a sweep moves none or
+``sweeps`` are done. Its classes are the contexts. Then, in Spark, all other words choose: a table has each
+word's counts after each context; in a round, every second word takes the class that is best for
+its own counts under the classes' present probabilities, if it gains more than naming a class costs (words seen
+once would else follow chance); the counts of contexts and classes are summed
+anew, and rounds go on while they raise the likelihood, ``ROUNDS`` at most. A pool's class is thus only where its words begin,
+and what stands for a less frequent word as a context.
 
 Emissions are add-one over all training words, each class having one unknown
-word; transitions are smoothed towards the classes' shares of the text. So the
+word, chosen by ending; transitions are smoothed towards the classes' shares of the text. So the
 probabilities of all words after any word sum to one.
 
-Scores need the count of every word. The ``held`` most frequent words are sent
-to the workers; the rest of a text's words are joined with the counts.
+Scores need the count and class of every word. Those of the ``held`` most frequent words are sent
+to the workers; the rest of a text's words are joined with the table.
 
 Tokens are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end per text. A
 null or empty text is one end. A null key counts as the text ``''`` when rows are
@@ -36,22 +42,22 @@ from tidewheel.llm.common import append, prepare, saved, utf8
 
 #: A line feed is no word, so it can stand for the end.
 END = b"\n"
-WORDS, POOLS, CLASSES, SWEEPS = 1000, 279, 48, 10
+WORDS, POOLS, SWEEPS, ROUNDS = 1500, 279, 6, 4
+#: Classes: so many times the fourth root of the number of words, and not more than there are types.
+BREADTH = 8
+#: What leaving its pool's class must gain a word, in logarithms of the number of classes.
+COST = 2.0
 HELD = 150_000
 #: Weight of the classes' shares in the transitions, in tokens.
 SMOOTHING = 20.0
-#: Distinct words a task counts before it passes them on.
-COUNTED = 400_000
+#: Distinct words a task counts before it passes them on, and words that choose at once.
+COUNTED, CHOSEN = 400_000, 4096
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def pool_of(word: bytes, pools: int) -> int:
-    return zlib.crc32(word[-3:]) % pools
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word`` (binary) and ``n`` over all texts, ends included."""
     prepare(docs.sparkSession)
@@ -126,7 +132,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each type by exchange; type 0, the end, is class 0 by itself."""
     n = len(pairs)
     heavy = np.argsort(-(pairs.sum(0) + pairs.sum(1)), kind="stable")
@@ -136,6 +142,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     member = np.zeros((n, classes))
     member[np.arange(n), kind] = 1
     grid = member.T @ pairs @ member
+    known = _xlogx(grid)
     out_of, into = pairs.sum(1), pairs.sum(0)
     for _ in range(sweeps):
         moved = 0
@@ -151,13 +158,17 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             grid[a] -= right
             grid[:, a] -= left
             grid[a, a] -= self_pairs
+            known[a], known[:, a] = _xlogx(grid[a]), _xlogx(grid[:, a])
             # All classes keep their pairs with the type, wherever it goes.
             rows, cols = grid.sum(1) + left, grid.sum(0) + right
-            across = _xlogx(grid + right) - _xlogx(grid)
-            down = _xlogx(grid + left[:, None]) - _xlogx(grid)
+            # Only pairs with classes that stand beside the type change.
+            r, l = np.flatnonzero(right), np.flatnonzero(left)
+            across = (_xlogx(grid[:, r] + right[r]) - known[:, r]).sum(1)
+            down = (_xlogx(grid[l] + left[l, None]) - known[l]).sum(0)
             own = np.diag(grid)
+            apart = _xlogx(own + right) + _xlogx(own + left) - 2 * _xlogx(own)
             gain = (
-                across.sum(1) - np.diag(across) + down.sum(0) - np.diag(down)
+                across + down - apart
                 + _xlogx(own + right + left + self_pairs) - _xlogx(own)
                 - _xlogx(rows + out_of[t]) + _xlogx(rows)
                 - _xlogx(cols + into[t]) + _xlogx(cols)
@@ -171,31 +182,132 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             grid[b] += right
             grid[:, b] += left
             grid[b, b] += self_pairs
+            known[b], known[:, b] = _xlogx(grid[b]), _xlogx(grid[:, b])
         if not moved:
             break
     return kind
 
 
 class ClassModel:
-    """Classes of types, log10 transitions and log10 masses of classes."""
-
-    def __init__(self, types: Types, kind: np.ndarray, pairs: np.ndarray, type_mass: np.ndarray, classes: int):
-        self.types, self.kind = types, kind
-        member = np.zeros((len(kind), classes))
-        member[np.arange(len(kind)), kind] = 1
-        grid = member.T @ pairs @ member
-        mass = type_mass @ member
+    """Contexts of types, log10 transitions from contexts to classes and log10 masses of classes.
+
+    ``steps`` are the models that words chose by, round after round.
+    """
+
+    def __init__(self, types: Types, kind: np.ndarray, classes: int):
+        self.types, self.kind, self.classes = types, kind, classes
+        self.steps: list[np.ndarray] = []
+        self.cost = COST * np.log10(classes)
+
+    def settle(self, grid: np.ndarray, mass: np.ndarray) -> float:
+        """Take counts of (context, class) and words' masses; gives the log10 likelihood but for what no class changes."""
+        mass = mass.astype(float)
         mass[1:] += 1  # each class but the end's has one unknown word
         mass[0] = max(mass[0], 1)
         share = mass / mass.sum()
         self.step = np.log10((grid + SMOOTHING * share) / (grid.sum(1, keepdims=True) + SMOOTHING))
         self.mass = np.log10(mass)
+        return float((grid * (self.step - self.mass)).sum())
+
+    def pooled(self, words: list[bytes]) -> np.ndarray:
+        """The class that words of these endings begin in."""
+        first, pools, crc = self.types.first_pool, self.types.pools, zlib.crc32
+        return self.kind[np.array([first + crc(w[-3:]) % pools for w in words], np.int64)]
+
+    def chosen(self, words: list[bytes], owner: np.ndarray, contexts: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The classes of words, given their counts (owner, context, times): that of the last round in which each chose."""
+        out = self.pooled(words)
+        half = np.array([zlib.crc32(w) & 1 for w in words], np.int64)
+        for part in (0, 1):
+            rounds = self.steps[part::2]
+            rows = np.flatnonzero(half == part)
+            if not rounds or not len(rows):
+                continue
+            value = rounds[-1]
+            place = np.full(len(words), -1)
+            place[rows] = np.arange(len(rows))
+            mine = place[owner] >= 0
+            # Entries lie word by word, so each word's are summed in one stretch.
+            at, who = np.flatnonzero(mine), place[owner[mine]]
+            for low in range(0, len(rows), CHOSEN):
+                a, b = np.searchsorted(who, [low, low + CHOSEN])
+                n = min(CHOSEN, len(rows) - low)
+                starts = np.searchsorted(who[a:b], np.arange(low, low + n))
+                sums = np.add.reduceat(value[contexts[at[a:b]]] * times[at[a:b], None], starts, axis=0)
+                sums[:, 0] = -np.inf
+                best, old = np.argmax(sums, axis=1), out[rows[low : low + n]]
+                each = np.arange(n)
+                moved = sums[each, best] > sums[each, old] + self.cost
+                out[rows[low : low + n]] = np.where(moved, best, old)
+        return out
+
+
+def context_counts(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
+    """``word``, ``contexts`` and ``times`` of all words in pools: how often each stands after each context."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def emit(counts: Counter) -> pa.RecordBatch:
+        words, kinds = zip(*counts.keys())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "context", "n"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = sent.value, Counter()
+        types, kind = model.types, model.kind
+        for batch in batches:
+            for x in utf8(batch.column(0)):
+                words = tokens(x)
+                seq = types(words)
+                before = kind[np.concatenate([[0], seq[:-1]])]
+                pooled = np.flatnonzero(seq >= types.first_pool)
+                counts.update(zip([words[i] for i in pooled.tolist()], before[pooled].tolist()))
+                if len(counts) > COUNTED:
+                    yield emit(counts)
+                    counts = Counter()
+        if counts:
+            yield emit(counts)
+
+    partial = docs.select(text).mapInArrow(run, "word binary, context int, n bigint")
+    # One exchange serves both sums: the tasks have added up their own.
+    per_word = partial.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    listed = per_word.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("held"))
+    return listed.select("word", F.col("held.context").alias("contexts"), F.col("held.n").alias("times"))
 
-    def chain(self, seq: np.ndarray) -> float:
-        """log10 of the transitions over the class masses, for types in text order."""
-        kinds = self.kind[seq]
-        before = np.concatenate([[0], kinds[:-1]])
-        return float((self.step[before, kinds] - self.mass[kinds]).sum())
+
+def _entries(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    words = [bytes(w) for w in batch.column(0).to_pylist()]
+    contexts, times = batch.column(1), batch.column(2)
+    sizes = np.diff(contexts.offsets.to_numpy())
+    return words, np.repeat(np.arange(len(words)), sizes), contexts.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
+
+
+def class_counts(table: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (context, class) of the table's words in the classes they choose, and the classes' masses."""
+    sent = table.sparkSession.sparkContext.broadcast(model)
+    c = model.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sums = sent.value, np.zeros(c * c + c, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                words, owner, contexts, times = _entries(batch)
+                kinds = model.chosen(words, owner, contexts, times)
+                sums[: c * c] += np.bincount(contexts * c + kinds[owner], times, c * c).astype(np.int64)
+                # One more for each word: emissions are add-one.
+                sums[c * c :] += np.bincount(kinds[owner], times, c).astype(np.int64) + np.bincount(kinds, minlength=c)
+        seen = np.flatnonzero(sums)
+        for at in range(0, len(seen), 1 << 16):
+            part = seen[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums[part], pa.int64())], ["at", "n"])
+
+    # At most the square of the number of classes, and that number.
+    rows = table.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    out = np.zeros(c * c + c)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out[: c * c].reshape(c, c), out[c * c :]
 
 
 def fit(
@@ -204,30 +316,52 @@ def fit(
     text: str = "text",
     words: int = WORDS,
     pools: int = POOLS,
-    classes: int = CLASSES,
+    classes: int | None = None,
     sweeps: int = SWEEPS,
-) -> ClassModel:
-    """The model of ``training``, whose word counts are given."""
-    rows = (
-        counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(words).collect()
-    )
+    rounds: int = ROUNDS,
+) -> tuple[ClassModel, DataFrame]:
+    """The model of ``training``, whose word counts are given, and ``word``, ``n`` and ``kind`` of all its words."""
+    of_words = counts.where(F.col("word") != F.lit(bytearray(END)))
+    rows = of_words.orderBy(F.desc("n"), "word").limit(words).collect()
     types = Types([bytes(r["word"]) for r in rows], pools)
-    ending = F.when(F.length("word") <= 3, F.col("word")).otherwise(F.expr("substring(word, -3, 3)"))
-    per_pool = (
-        counts.where(F.col("word") != F.lit(bytearray(END)))
-        .groupBy((F.crc32(ending) % pools).alias("pool"))
-        .agg(F.sum(F.col("n") + 1).alias("mass"))
-        .collect()
-    )
-    mass = np.zeros(types.number)
-    for r in per_pool:
-        mass[types.first_pool + r["pool"]] = r["mass"]
-    for i, r in enumerate(rows, start=1):
-        mass[i] = r["n"] + 1
-        mass[types.first_pool + pool_of(bytes(r["word"]), pools)] -= r["n"] + 1
+    if classes is None:
+        classes = max(2, min(round(BREADTH * counts.count() ** 0.25), types.number))
     pairs = type_bigrams(training, types, text)
-    mass[0] = pairs[:, 0].sum() + 1
-    return ClassModel(types, exchange(pairs, classes, sweeps), pairs, mass, classes)
+    model = ClassModel(types, exchange(pairs, classes, sweeps), classes)
+    # The frequent words and the end stay where the exchange has put them.
+    own = np.arange(types.number) < types.first_pool
+    member = np.zeros((types.number, classes))
+    member[np.arange(types.number), model.kind] = 1
+    grid = member.T @ pairs[:, own] @ member[own]
+    mass = np.array([pairs[:, 0].sum() + 1, *[r["n"] + 1 for r in rows], *[0] * pools]) @ member
+    table = saved(context_counts(training, model, text), "brown-contexts")
+    before, kept = None, None
+    for _ in range(rounds + 1):
+        more, weight = class_counts(table, model)
+        likelihood = model.settle(grid + more, mass + weight)
+        if before is not None and likelihood <= before:
+            model.steps.pop()
+            model.step, model.mass = kept
+            break
+        before, kept = likelihood, (model.step, model.mass)
+        model.steps.append(model.step - model.mass)
+    else:
+        model.steps.pop()
+    sent = training.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                listed, owner, contexts, times = _entries(batch)
+                n = np.bincount(owner, times, len(listed)).astype(np.int64)
+                kinds = model.chosen(listed, owner, contexts, times)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(kinds, pa.int32())], ["word", "n", "kind"])
+
+    placed = [(bytearray(w), int(n), int(model.kind[i])) for i, (w, n) in enumerate([(END, pairs[:, 0].sum()), *[(bytes(r["word"]), r["n"]) for r in rows]])]
+    schema = "word binary, n bigint, kind int"
+    first = training.sparkSession.createDataFrame(placed, schema)
+    return model, saved(table.mapInArrow(choose, schema).unionByName(first.where("n > 0")), "brown-classes")
 
 
 def score(
@@ -247,33 +381,36 @@ def score(
     training = rows.where("_trained")
     counts = saved(word_counts(training, "_text"), "brown-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = fit(counts, training, "_text", **options)
-    top = counts.orderBy(F.desc("n"), "word").limit(held).toArrow()
+    model, placed = fit(counts, training, "_text", **options)
+    top = placed.orderBy(F.desc("n"), "word").limit(held).toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(
-        (model, top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64))
+        (model, top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64), top["kind"].to_numpy())
     )
 
     def make():
-        model, words, n = sent.value
+        model, words, n, kinds = sent.value
         at = {w: i for i, w in enumerate(words)}
-        kinds = np.append(model.types(words), 0)
+        # A word's class, and what it is as a context; the last place stands for words that are joined.
+        of, context = np.append(kinds, 0), np.append(model.kind[model.types(words)], 0)
         logs = np.append(np.log10(n + 1), 0.0)
-        first, pools, crc, get = model.types.first_pool, model.types.pools, zlib.crc32, at.get
+        get = at.get
 
         def work(texts):
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in range(7)]
             for x in utf8(texts):
                 toks = tokens(x)
                 places = np.array([get(w, -1) for w in toks], np.int64)
-                seq, rest = kinds[places], Counter()
-                for i in np.flatnonzero(places < 0).tolist():
-                    w = toks[i]
-                    if w != END:
-                        seq[i] = first + crc(w[-3:]) % pools
-                    rest[w] += 1
+                into, after, rest = of[places], context[places], Counter()
+                known = places >= 0
+                others = np.flatnonzero(~known)
+                after[others] = model.kind[model.types([toks[i] for i in others.tolist()])]
+                before = np.concatenate([[0], after[:-1]])
+                for i in others.tolist():
+                    rest[toks[i], int(before[i])] += 1
+                chain = (model.step[before[known], into[known]] - model.mass[into[known]]).sum()
                 row = (
-                    len(toks), len(toks) - rest.total(), float(logs[places].sum()), model.chain(seq),
-                    list(rest.keys()), list(rest.values()),
+                    len(toks), int((places >= 0).sum()), float(logs[places].sum()), float(chain),
+                    [w for w, _ in rest], [c for _, c in rest], list(rest.values()),
                 )
                 for column, value in zip(out, row):
                     column.append(value)
@@ -285,24 +422,43 @@ def score(
         rows.withColumn("_hash", F.xxhash64("_text")),
         make,
         ["_text"],
-        "n_tokens bigint, _known bigint, _logs double, _chain double, _words array<binary>, _times array<bigint>",
+        "n_tokens bigint, _known bigint, _logs double, _chain double, _words array<binary>, _contexts array<int>, _times array<bigint>",
     ).drop("_text")
     per_doc = saved(per_doc, "brown-texts")
     rare = per_doc.select(
-        "_key", "_hash", F.posexplode(F.arrays_zip("_words", "_times")).alias("_at", "_one")
-    ).select("_key", "_hash", "_at", F.col("_one._words").alias("word"), F.col("_one._times").alias("_times"))
+        "_key", "_hash", F.posexplode(F.arrays_zip("_words", "_contexts", "_times")).alias("_at", "_one")
+    ).select(
+        "_key", "_hash", "_at", F.col("_one._words").alias("word"), F.col("_one._contexts").alias("_context"),
+        F.col("_one._times").alias("_times"),
+    )
+
+    def entering():
+        model = sent.value[0]
+
+        def work(words, contexts, kinds):
+            into = kinds.fill_null(-1).to_numpy().astype(np.int64)
+            unknown = np.flatnonzero(into < 0)
+            into[unknown] = model.kind[model.types(words.take(pa.array(unknown)).to_pylist())]
+            return [model.step[contexts.to_numpy(), into] - model.mass[into]]
+
+        return work
+
+    # Words are looked up and scored where the table's rows lie.
+    met = append(rare.join(placed, "word", "left"), entering, ["word", "_context", "kind"], "_step double")
     # Rows equal in key and text count once each: the sums are divided by their number.
-    joined = rare.join(counts, "word", "left").groupBy("_key", "_hash").agg(
+    joined = met.groupBy("_key", "_hash").agg(
         F.sum(F.when(F.col("_at") == 0, 1).otherwise(0)).alias("_copies"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0)).alias("_more"),
         # Sums of logarithms in whole numbers do not depend on the order of rows.
         F.sum(F.round(F.col("_times") * F.log10(F.coalesce("n", F.lit(0)) + 1) * 1e9).cast("long")).alias("_sum"),
+        F.sum(F.round(F.col("_times") * F.col("_step") * 1e9).cast("long")).alias("_steps"),
     )
     joined = joined.select(
         F.col("_key").alias("_k"),
         F.col("_hash").alias("_h"),
         (F.col("_more") / F.col("_copies")).cast("long").alias("_more"),
         (F.col("_sum") / F.col("_copies") / 1e9).alias("_sum"),
+        (F.col("_steps") / F.col("_copies") / 1e9).alias("_steps"),
     )
     logs = F.col("_logs") + F.coalesce("_sum", F.lit(0.0))
     scale = F.lit(float(np.log10(float(total + distinct + 1))))
@@ -312,6 +468,6 @@ def score(
         (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * scale).alias("base_score"),
-        (logs + F.col("_chain")).alias("score"),
+        (logs + F.col("_chain") + F.coalesce("_steps", F.lit(0.0))).alias("score"),
         F.col("_trained").alias("trained"),
     )
