@@ -375,6 +375,30 @@ def test_words_and_mixes_of_odd_rows(spark, odd):
     assert mixing.mix(odd.where("false")).count() == 0
 
 
+def test_repeated_ids_and_rows_are_spread_and_reruns_agree(spark, monkeypatch):
+    rows = [(7, f"w{i} " * (i % 5 + 1), "a") for i in range(3000)] + [(i, "x y z", "a") for i in range(6000)]
+    rows += [(8, "the same row", "a")] * 4000 + [(9, "another same row here", "a")] * 3000 + [(i, "b c", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    steps = {}
+    monkeypatch.setattr(mixing, "saved", lambda df, name: steps.setdefault((len(steps), name), common.saved(df, name)))
+    found = Counter(map(tuple, mixing.mix(df).collect()))
+    mean = 16_000 / 127
+    assert max(n for (_, name), x in steps.items() if name == "mix-ranges" for (n,) in x.select("_n").collect()) > 3000
+    assert any(name == "mix-often" for _, name in steps)
+    # No window's rows are more than a few times the average.
+    windows = {}
+    real = mixing._apart
+    monkeypatch.setattr(mixing, "_apart", lambda *a: windows.setdefault("rows", real(*a)))
+    again = Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
+    assert found == again
+    sizes = [r["count"] for r in windows["rows"].groupBy("_source", "_range", "_part", "_share").count().collect()]
+    assert max(sizes) < 10 * max(mean, mixing.FEW / 8) and sum(sizes) == len(rows)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(r[4] * n for r, n in found.items()) - total) <= 2
+    monkeypatch.setattr(mixing, "FEW", 10**9)  # no range is looked into
+    assert Counter(map(tuple, mixing.mix(df).collect())) == found
+
+
 def test_materialized_mix_has_the_words_taken(spark, odd):
     plan = Counter()
     for r in mixing.mix(odd).collect():

@@ -3,14 +3,16 @@
 A source's target is its weight's share of all words, but at most ``most`` times
 its own words; what is above goes to the other sources by weight until none is
 above. Each source gives whole epochs of its documents, then a last part: its
-documents in the order of a hash of their id, up to the budget's last word.
+documents in the order of a hash of their id and text, up to the budget's last word.
 
 The order does not depend on partitions or retries. Within a source of n rows the
 hash cuts the rows into about sqrt(n) ranges; sums per range give each range's
-start, so that no task holds a source and none is sorted whole.
+start, so that no task holds a source and none is sorted whole. Rows with one id but different
+texts fall into different ranges. Rows equal in both cannot be told apart by a hash: where a range has
+``DEEP`` times the rows of an average one, those that repeat most are cut into ranges of their own.
 
-A null text has 0 words. A null source is a source of its own, the last. Rows
-equal in id are ordered by size; equal rows are interchangeable, and each counts.
+A null text has 0 words. A null source is a source of its own, the last. Rows equal in
+id and text are ordered by the columns carried; rows equal in these too are interchangeable, and each counts.
 An empty table gives an empty table. Columns other than the id, the text and
 the source do not matter and are not read.
 """
@@ -26,6 +28,8 @@ from tidewheel.operators.ordered import ranks
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: A range of more than so many times the average, and so many rows, is looked into for repeated rows.
+DEEP, FEW = 8, 1000
 #: Sources and ranges up to so many bytes, with so many per row besides the name, are broadcast.
 SENT_BYTES, ROW_BYTES = 8 << 20, 64
 SPACES = "\t\n\x0b\f\r "
@@ -83,6 +87,36 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
 
 
+def _order(key: str, text: str) -> Column:
+    whole = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), whole).cast("binary"))
+
+
+def _apart(placed: DataFrame, deep: DataFrame) -> DataFrame:
+    """``placed`` with ranges cut at the rows that repeat most in the ``deep`` ranges: ``_part`` and ``_share``.
+
+    Parts follow each other in the order: what lies below the first such row, the row and its like, what lies
+    between it and the next, and so on. Like rows are dealt into shares of about ``FEW``; they are
+    interchangeable, so any share may come first.
+    """
+    inside = placed.join(deep, placed["_source"].eqNullSafe(deep["_deep_source"]) & (placed["_range"] == deep["_deep_range"]))
+    often = (
+        inside.groupBy("_source", "_range", "_order").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW)
+        .groupBy(F.col("_source").alias("_deep_source"), F.col("_range").alias("_deep_range"))
+        .agg(F.sort_array(F.collect_list(F.struct("_order", "_n"))).alias("_often"))
+    )
+    # A deep range has few orders that repeat so often: at most its rows over FEW.
+    often = saved(often, "mix-often")
+    met = placed.join(often, placed["_source"].eqNullSafe(often["_deep_source"]) & (placed["_range"] == often["_deep_range"]), "left")
+    like = F.filter("_often", lambda x: x["_order"] == F.col("_order"))
+    below = F.size(F.filter("_often", lambda x: x["_order"] < F.col("_order")))
+    is_one = F.coalesce(F.size(like), F.lit(0)) > 0
+    shares = F.ceil(F.element_at(like, 1)["_n"] / FEW)
+    part = F.when(F.col("_often").isNull(), 0).otherwise(2 * below + is_one.cast("int"))
+    share = F.when(is_one, F.pmod(F.xxhash64("_number"), shares)).otherwise(0)
+    return met.withColumns({"_part": part.cast("int"), "_share": share.cast("long")}).drop("_deep_source", "_deep_range", "_often")
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -103,7 +137,9 @@ def mix(
         F.col(source).alias("source"),
         word_count(text).alias("size"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    ).withColumn("_order", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")))
+        _order(key, text).alias("_order"),
+        F.monotonically_increasing_id().alias("_number"),
+    )
     if not keep:
         rows = saved(rows, "mix-sizes")
     sources = saved(
@@ -125,17 +161,34 @@ def mix(
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn(
         "_range", F.shiftright(head * F.col("_ranges"), 32)
     )
-    per_range = placed.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
+    # Ranges are cut where rows repeat; each range's rows are counted first, which only reads hashes.
+    sizes = placed.groupBy("_source", "_range", "_ranges").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    rows_of = W.partitionBy("_source")
+    sizes = saved(sizes.withColumn("_mean", F.sum("_n").over(rows_of) / F.col("_ranges")), "mix-ranges")
+    deep = sizes.where((F.col("_n") > DEEP * F.col("_mean")) & (F.col("_n") > FEW)).select(
+        F.col("_source").alias("_deep_source"), F.col("_range").alias("_deep_range")
+    )
+    at = ["_range"]
+    if deep.isEmpty():
+        per_range = sizes.select("_source", "_range", "_words")
+    else:
+        at = ["_range", "_part", "_share"]
+        # Rows are dealt by their number, so it must not change between the two reads of them.
+        placed = _apart(saved(placed, "mix-rows") if keep else placed, deep)
+        per_range = placed.groupBy("_source", *at).agg(F.sum("size").alias("_words"))
     before = per_range.select(
         F.col("_source").alias("_of"),
-        F.col("_range").alias("_at"),
-        (F.sum("_words").over(W.partitionBy("_source").orderBy("_range")) - F.col("_words")).alias("_start"),
-    )
-    before = F.broadcast(before) if (size[1] or 0) <= SENT_BYTES else before
-    located = placed.join(
-        before, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))
+        *[F.col(c).alias(f"_at{c}") for c in at],
+        (F.sum("_words").over(W.partitionBy("_source").orderBy(*at)) - F.col("_words")).alias("_start"),
     )
-    order = W.partitionBy("_source", "_range").orderBy("_order", "_id", "size")
+    before = F.broadcast(before) if (size[1] or 0) <= SENT_BYTES and len(at) == 1 else before
+    same = F.col("_source").eqNullSafe(F.col("_of"))
+    for c in at:
+        same = same & (F.col(c) == F.col(f"_at{c}"))
+    located = placed.join(before, same)
+    carried = [f"_keep_{c}" for c in keep if c not in (key, source)]
+    last = [F.xxhash64(*carried)] if carried else []
+    order = W.partitionBy("_source", *at).orderBy("_order", "_id", "size", *last)
     ahead = F.col("_start") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -154,7 +207,7 @@ def mix(
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -179,7 +232,7 @@ t AS (
   FROM f, g),
 p AS (
   SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS budget,
-         (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+         (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || digest), doc_id, size
                           ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN least(budget // source_size, 3) ELSE 0 END AS epochs FROM p)
