@@ -39,8 +39,8 @@ def test_word_vectors_by_hand(spark, odd):
     words, vectors = classifier.word_vectors(spark.createDataFrame(rows, "text string"), vocabulary=3)
     assert words.of == {"a": 0, "c": 1, "b": 2}
     index = np.zeros((words.size + classifier.HASHED, classifier.WIDTH))
-    for i, (places, signs) in enumerate(zip(words.places, words.signs)):
-        index[i, places] = signs
+    for i, (plus, minus) in enumerate(zip(words.plus, words.minus)):
+        index[i, plus], index[i, minus] = 1, -1
     sums = np.zeros((3, classifier.WIDTH))
     for (text,) in rows:
         ids = words.ids((text or "").split())

@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Words are runs of letters and digits, or of other marks, as written. Every word has a
-random index vector with a few entries of +1 or -1, and a word's vector is the sum of the index
+Words are runs of letters, digits and underscores, or of other marks, as written. Every word has a
+random index vector with an entry of +1 and one of -1, and a word's vector is the sum of the index
 vectors of the words near it, brought to length one. Words are counted over all documents; for the
 ``VOCABULARY`` most frequent ones the sums run over all documents too, and their vectors are sent to
 the workers. Any other word has the sum over the text at hand, which for the rarest words,
@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import append, labelled, prepare
 
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-#: Labelled rows used, words with vectors of their own, index vectors of other words, entries, nonzero entries, window.
-FIT_ROWS, VOCABULARY, HASHED, WIDTH, NONZERO, NEAR = 4000, 30_000, 4096, 48, 4, 2
+TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Labelled rows used, words with vectors of their own, index vectors of other words, entries, window.
+FIT_ROWS, VOCABULARY, HASHED, WIDTH, NEAR = 4000, 30_000, 4096, 48, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.01, 1e-3
 ACCEPT = 0.7
 #: Words are pooled so many at a time.
 BLOCK = 1 << 14
-#: Distinct words a task counts before it passes them on.
-COUNTED = 400_000
+#: Distinct words a task counts before it passes them on, and tokens whose contexts it sums at once.
+COUNTED, SUMMED = 150_000, 1 << 17
 
 
 class Words:
@@ -50,44 +51,42 @@ class Words:
         self.of = {w: i for i, w in enumerate(vocabulary)}
         self.size = len(vocabulary)
         rng = np.random.default_rng(8)
-        every = self.size + HASHED
-        self.places = np.argsort(rng.random((every, WIDTH)), axis=1)[:, :NONZERO]
-        self.signs = rng.choice([-1.0, 1.0], (every, NONZERO))
+        # Where each index vector is +1 and where -1.
+        self.plus, self.minus = np.argsort(rng.random((self.size + HASHED, WIDTH)), axis=1)[:, :2].T.astype(np.int32)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get, size, crc = self.of.get, self.size, zlib.crc32
-        found = [get(w) for w in words]
-        return np.array([size + crc(w.encode()) % HASHED if i is None else i for i, w in zip(found, words)], np.int64)
+        out = np.fromiter(map(self.of.get, words, repeat(-1)), np.int32, len(words))
+        size, crc = self.size, zlib.crc32
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = size + crc(words[i].encode()) % HASHED
+        return out
 
     def summed(self, rows: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
         """For each of ``size`` rows the sum of the index vectors of the words ``near`` it, as one flat array."""
-        out = np.zeros(size * WIDTH)
-        for j in range(NONZERO):
-            out += np.bincount(rows * WIDTH + self.places[near, j], self.signs[near, j], len(out))
-        return out
+        at, cells = rows * WIDTH, size * WIDTH
+        return np.bincount(at + self.plus[near], minlength=cells) - np.bincount(at + self.minus[near], minlength=cells)
 
     def contexts(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sums over the texts for the words of the vocabulary, as one flat array."""
-        out = np.zeros(self.size * WIDTH)
+        pairs = []
         for step in range(1, NEAR + 1):
             left = np.concatenate([ids[:-step] for ids in texts])
             right = np.concatenate([ids[step:] for ids in texts])
             for a, b in ((left, right), (right, left)):
                 known = a < self.size
-                out += self.summed(a[known], b[known], self.size)
-        return out
+                pairs.append((a[known], b[known]))
+        return self.summed(*[np.concatenate(x) for x in zip(*pairs)], self.size)
 
     def local(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of one text: where words outside the vocabulary stand, and their vectors from the text itself."""
         at = np.flatnonzero(ids >= self.size)
         number: dict[str, int] = {}
         which = np.array([number.setdefault(words[i], len(number)) for i in at.tolist()], np.int64)
-        sums = np.zeros(len(number) * WIDTH)
-        for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
-            near = at + step
-            inside = (near >= 0) & (near < len(ids))
-            sums += self.summed(which[inside], ids[near[inside]], len(number))
-        return at, unit(sums.reshape(-1, WIDTH))[which]
+        near = at[:, None] + np.array([*range(-NEAR, 0), *range(1, NEAR + 1)])
+        inside = (near >= 0) & (near < len(ids))
+        owner = np.broadcast_to(which[:, None], near.shape)[inside]
+        sums = self.summed(owner, ids[near[inside]], len(number))
+        return at, unit(sums.reshape(-1, WIDTH).astype(float))[which]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -190,13 +189,19 @@ def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULA
     entries = [f"c{i}" for i in range(WIDTH)]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = sent.value, None
+        known = sent.value
+        sums, texts, held = np.zeros(known.size * WIDTH, np.int64), [], 0
         for batch in batches:
-            texts = [known.ids(TOKEN.findall(x or "")) for x in batch.column(0).to_pylist()]
-            if texts:
-                sums = (0 if sums is None else sums) + known.contexts(texts)
-        if sums is not None:
-            sums = sums.reshape(-1, WIDTH).astype(np.int64)
+            for x in batch.column(0).to_pylist():
+                texts.append(known.ids(TOKEN.findall(x or "")))
+                held += len(texts[-1])
+                if held > SUMMED:
+                    sums += known.contexts(texts)
+                    texts, held = [], 0
+        if texts:
+            sums += known.contexts(texts)
+        if sums.any():
+            sums = sums.reshape(-1, WIDTH)
             seen = np.flatnonzero(sums.any(1))
             for at in range(0, len(seen), BLOCK):
                 ids = seen[at : at + BLOCK]
