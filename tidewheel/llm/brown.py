@@ -32,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from tidewheel.llm.common import append, prepare, saved, utf8
 
 #: A line feed is no word, so it can stand for the end.
 END = b"\n"
-WORDS, POOLS, SWEEPS, ROUNDS = 1500, 279, 6, 4
+WORDS, POOLS, SWEEPS, ROUNDS = 1500, 279, 6, 2
 #: Classes: so many times the fourth root of the number of words, and not more than there are types.
 BREADTH = 8
 #: What leaving its pool's class must gain a word, in logarithms of the number of classes.
@@ -209,22 +210,18 @@ class ClassModel:
         self.mass = np.log10(mass)
         return float((grid * (self.step - self.mass)).sum())
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """The class that words of these endings begin in."""
-        first, pools, crc = self.types.first_pool, self.types.pools, zlib.crc32
-        return self.kind[np.array([first + crc(w[-3:]) % pools for w in words], np.int64)]
-
-    def chosen(self, words: list[bytes], owner: np.ndarray, contexts: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """The classes of words, given their counts (owner, context, times): that of the last round in which each chose."""
-        out = self.pooled(words)
-        half = np.array([zlib.crc32(w) & 1 for w in words], np.int64)
+    def chosen(
+        self, pools: np.ndarray, half: np.ndarray, owner: np.ndarray, contexts: np.ndarray, times: np.ndarray
+    ) -> np.ndarray:
+        """The classes of words, given their pools and counts (owner, context, times): that of the last round in which each chose."""
+        out = self.kind[self.types.first_pool + pools]
         for part in (0, 1):
             rounds = self.steps[part::2]
             rows = np.flatnonzero(half == part)
             if not rounds or not len(rows):
                 continue
             value = rounds[-1]
-            place = np.full(len(words), -1)
+            place = np.full(len(pools), -1)
             place[rows] = np.arange(len(rows))
             mine = place[owner] >= 0
             # Entries lie word by word, so each word's are summed in one stretch.
@@ -243,7 +240,10 @@ class ClassModel:
 
 
 def context_counts(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
-    """``word``, ``contexts`` and ``times`` of all words in pools: how often each stands after each context."""
+    """``word``, ``pool``, ``half`` (of the words, by hash), ``contexts`` and ``times`` of all words in pools.
+
+    Contexts and times say how often a word stands after each context.
+    """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -262,7 +262,8 @@ def context_counts(docs: DataFrame, model: ClassModel, text: str = "text") -> Da
                 seq = types(words)
                 before = kind[np.concatenate([[0], seq[:-1]])]
                 pooled = np.flatnonzero(seq >= types.first_pool)
-                counts.update(zip([words[i] for i in pooled.tolist()], before[pooled].tolist()))
+                counts.update(zip(itemgetter(*pooled.tolist())(words), before[pooled].tolist()) if len(pooled) > 1 else
+                              [(words[i], int(before[i])) for i in pooled])
                 if len(counts) > COUNTED:
                     yield emit(counts)
                     counts = Counter()
@@ -273,14 +274,22 @@ def context_counts(docs: DataFrame, model: ClassModel, text: str = "text") -> Da
     # One exchange serves both sums: the tasks have added up their own.
     per_word = partial.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
     listed = per_word.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("held"))
-    return listed.select("word", F.col("held.context").alias("contexts"), F.col("held.n").alias("times"))
+    return listed.select(
+        "word", _pool(model.types.pools).alias("pool"), F.crc32("word").bitwiseAND(F.lit(1)).cast("int").alias("half"),
+        F.col("held.context").alias("contexts"), F.col("held.n").alias("times"),
+    )
 
 
-def _entries(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    words = [bytes(w) for w in batch.column(0).to_pylist()]
-    contexts, times = batch.column(1), batch.column(2)
-    sizes = np.diff(contexts.offsets.to_numpy())
-    return words, np.repeat(np.arange(len(words)), sizes), contexts.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
+def _pool(pools: int) -> Column:
+    ending = F.when(F.length("word") <= 3, F.col("word")).otherwise(F.expr("substring(word, -3, 3)"))
+    return (F.crc32(ending) % pools).cast("int")
+
+
+def _entries(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
+    """Pools, halves, and for each entry its word's place, context and times, from the columns from ``at`` on."""
+    pools, half, contexts, times = batch.columns[at : at + 4]
+    owner = np.repeat(np.arange(len(pools)), np.diff(contexts.offsets.to_numpy()))
+    return [pools.to_numpy(), half.to_numpy(), owner, contexts.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()]
 
 
 def class_counts(table: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +301,8 @@ def class_counts(table: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.nd
         model, sums = sent.value, np.zeros(c * c + c, np.int64)
         for batch in batches:
             if batch.num_rows:
-                words, owner, contexts, times = _entries(batch)
-                kinds = model.chosen(words, owner, contexts, times)
+                pools, half, owner, contexts, times = _entries(batch, 0)
+                kinds = model.chosen(pools, half, owner, contexts, times)
                 sums[: c * c] += np.bincount(contexts * c + kinds[owner], times, c * c).astype(np.int64)
                 # One more for each word: emissions are add-one.
                 sums[c * c :] += np.bincount(kinds[owner], times, c).astype(np.int64) + np.bincount(kinds, minlength=c)
@@ -303,7 +312,7 @@ def class_counts(table: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums[part], pa.int64())], ["at", "n"])
 
     # At most the square of the number of classes, and that number.
-    rows = table.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = table.drop("word").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
     out = np.zeros(c * c + c)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
@@ -328,34 +337,37 @@ def fit(
         classes = max(2, min(round(BREADTH * counts.count() ** 0.25), types.number))
     pairs = type_bigrams(training, types, text)
     model = ClassModel(types, exchange(pairs, classes, sweeps), classes)
-    # The frequent words and the end stay where the exchange has put them.
+    # The frequent words and the end stay where the exchange has put them; pools are where words begin.
     own = np.arange(types.number) < types.first_pool
     member = np.zeros((types.number, classes))
     member[np.arange(types.number), model.kind] = 1
-    grid = member.T @ pairs[:, own] @ member[own]
-    mass = np.array([pairs[:, 0].sum() + 1, *[r["n"] + 1 for r in rows], *[0] * pools]) @ member
+    mass = np.array([pairs[:, 0].sum() + 1, *[r["n"] + 1 for r in rows], *[0] * pools], float)
+    begun = mass.copy()
+    for r in of_words.groupBy(_pool(pools).alias("pool")).agg(F.sum(F.col("n") + 1).alias("mass")).collect():
+        begun[types.first_pool + r["pool"]] += r["mass"]
+    for r in rows:
+        begun[types.first_pool + zlib.crc32(bytes(r["word"])[-3:]) % pools] -= r["n"] + 1
+    likelihood = model.settle(member.T @ pairs @ member, begun @ member)
+    grid, mass = member.T @ pairs[:, own] @ member[own], mass @ member
     table = saved(context_counts(training, model, text), "brown-contexts")
-    before, kept = None, None
-    for _ in range(rounds + 1):
+    for _ in range(rounds):
+        kept = model.step, model.mass
+        model.steps.append(model.step - model.mass)
         more, weight = class_counts(table, model)
-        likelihood = model.settle(grid + more, mass + weight)
-        if before is not None and likelihood <= before:
+        before, likelihood = likelihood, model.settle(grid + more, mass + weight)
+        if likelihood <= before:
             model.steps.pop()
             model.step, model.mass = kept
             break
-        before, kept = likelihood, (model.step, model.mass)
-        model.steps.append(model.step - model.mass)
-    else:
-        model.steps.pop()
     sent = training.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             if batch.num_rows:
-                listed, owner, contexts, times = _entries(batch)
-                n = np.bincount(owner, times, len(listed)).astype(np.int64)
-                kinds = model.chosen(listed, owner, contexts, times)
+                pools, half, owner, contexts, times = _entries(batch, 1)
+                n = np.bincount(owner, times, batch.num_rows).astype(np.int64)
+                kinds = model.chosen(pools, half, owner, contexts, times)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(kinds, pa.int32())], ["word", "n", "kind"])
 
     placed = [(bytearray(w), int(n), int(model.kind[i])) for i, (w, n) in enumerate([(END, pairs[:, 0].sum()), *[(bytes(r["word"]), r["n"]) for r in rows]])]
