@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import append, labelled, prepare
+from tidewheel.llm.common import append, give_back, labelled, prepare
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Labelled rows used, words with vectors of their own, index vectors of other words, entries, window.
@@ -182,6 +182,8 @@ def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULA
                 counts = Counter()
         if counts:
             yield emit(counts)
+        counts = batch = None
+        give_back()
 
     counted = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = Words([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()])
@@ -207,6 +209,8 @@ def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULA
                 ids = seen[at : at + BLOCK]
                 columns = [pa.array(ids, pa.int32()), *[pa.array(c) for c in np.ascontiguousarray(sums[ids].T)]]
                 yield pa.RecordBatch.from_arrays(columns, ["id", *entries])
+        sums = texts = batch = None
+        give_back()
 
     partial = docs.select(text).mapInArrow(near, "id int, " + ", ".join(f"{c} bigint" for c in entries))
     total = partial.groupBy("id").agg(*[F.sum(c).cast("double").cast("float").alias(c) for c in entries]).toArrow()

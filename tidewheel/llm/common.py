@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -14,8 +16,8 @@ from tidewheel.session import shared_folder
 
 #: A batch sent to a Python worker holds at most so many rows and bytes, so
 #: that long texts do not add up.
-BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -42,6 +44,15 @@ def prepare(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed: its worker lives on and serves later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def append(
     df: DataFrame,
     make: Callable[[], Callable[..., list]],
@@ -74,6 +85,9 @@ def append(
             new = work(*[batch.column(i) for i in at])
             new = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], names=names)
+            batch = new = None
+        work = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
