@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.operators import ordered
+from tidewheel.operators import ordered, segments
 from tidewheel.operators.segments import SEGMENT, cut, numbers
 
 
@@ -39,3 +39,14 @@ def test_ranks_and_totals_go_on_across_a_cut_tie(tied):
     )
     got = out.select("id", "row_number", "dense_rank", "total")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cuts_too_many_to_broadcast_are_joined_as_a_table(spark, tied, monkeypatch):
+    monkeypatch.setattr(segments, "HELD", 3)
+    piece = cut(tied, ["key"], [F.col("at"), *numbers(tied, ["id"])], depth=100)
+    sizes = [r["count"] for r in piece.rows.groupBy(SEGMENT).count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 2 * 100
+    out = ordered.ranks(tied, ["key"], "at", ["id"], F.col("at"))
+    w = W.partitionBy("key").orderBy("at", "id")
+    want = tied.select("id", F.row_number().over(w), F.dense_rank().over(W.partitionBy("key").orderBy("at")))
+    assert sorted(map(tuple, out.select("id", "row_number", "dense_rank").collect())) == sorted(map(tuple, want.collect()))
