@@ -76,7 +76,8 @@ def customer_open_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(l_returnflag, 'all') AS returnflag, coalesce(l_linestatus, 'all') AS linestatus,
+SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'all' ELSE l_returnflag END AS returnflag,
+       CASE WHEN grouping(l_linestatus) = 1 THEN 'all' ELSE l_linestatus END AS linestatus,
        CAST(grouping(l_returnflag) AS BIGINT) AS all_flags,
        CAST(grouping(l_linestatus) AS BIGINT) AS all_statuses,
        count(*) AS n_lines,
@@ -105,14 +106,16 @@ def line_totals_by_flag_and_status(spark: SparkSession, folder: str) -> DataFram
             F.sum("q").cast("decimal(28,2)").alias("quantity"),
             F.sum("r").cast("decimal(28,4)").alias("revenue"),
         )
-        .withColumn("returnflag", F.coalesce(flag, F.lit("all")))
-        .withColumn("linestatus", F.coalesce(status, F.lit("all")))
+        .withColumn("returnflag", F.when(F.col("all_flags") == 1, "all").otherwise(flag))
+        .withColumn("linestatus", F.when(F.col("all_statuses") == 1, "all").otherwise(status))
         .drop("l_returnflag", "l_linestatus")
     )
 
 
 @query("""
-SELECT coalesce(p_brand, 'all') AS brand, coalesce(p_type, 'all') AS type,
+SELECT CASE WHEN grouping(p_brand) = 1 THEN 'all' ELSE p_brand END AS brand,
+       CASE WHEN grouping(p_type) = 1 THEN 'all' ELSE p_type END AS type,
+       CAST(grouping(p_brand) AS BIGINT) AS all_brands, CAST(grouping(p_type) AS BIGINT) AS all_types,
        count(*) AS n_parts, CAST(max(p_size) AS BIGINT) AS largest_size,
        CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS price_total
 FROM part GROUP BY CUBE (p_brand, p_type)
@@ -130,13 +133,18 @@ def part_cube(spark: SparkSession, folder: str) -> DataFrame:
     return (
         fine.cube("p_brand", "p_type")
         .agg(
+            F.grouping("p_brand").cast("bigint").alias("all_brands"),
+            F.grouping("p_type").cast("bigint").alias("all_types"),
             F.sum("n").alias("n_parts"),
             F.max("size").cast("bigint").alias("largest_size"),
             F.sum("price").cast("decimal(28,2)").alias("price_total"),
         )
         .select(
-            F.coalesce("p_brand", F.lit("all")).alias("brand"),
-            F.coalesce("p_type", F.lit("all")).alias("type"),
+            # A null value stays null; only a subtotal reads 'all'.
+            F.when(F.col("all_brands") == 1, "all").otherwise(F.col("p_brand")).alias("brand"),
+            F.when(F.col("all_types") == 1, "all").otherwise(F.col("p_type")).alias("type"),
+            "all_brands",
+            "all_types",
             "n_parts",
             "largest_size",
             "price_total",
@@ -145,7 +153,9 @@ def part_cube(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(strftime(day, '%Y-%m-%d'), 'all') AS day, coalesce(event_type, 'all') AS event_type,
+SELECT CASE WHEN grouping(day) = 1 THEN 'all' ELSE strftime(day, '%Y-%m-%d') END AS day,
+       CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS event_type,
+       CAST(grouping(day) AS BIGINT) AS all_days, CAST(grouping(event_type) AS BIGINT) AS all_types,
        count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
 FROM (SELECT date_trunc('day', ts) AS day, event_type, value FROM events)
 GROUP BY ROLLUP (day, event_type)
@@ -158,9 +168,14 @@ def event_rollup_by_day(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         fine.rollup("day", "event_type")
-        .agg(F.sum("n").alias("n_events"), F.sum("v").cast("decimal(28,2)").alias("total"))
-        .withColumn("day", F.coalesce("day", F.lit("all")))
-        .withColumn("event_type", F.coalesce("event_type", F.lit("all")))
+        .agg(
+            F.grouping("day").cast("bigint").alias("all_days"),
+            F.grouping("event_type").cast("bigint").alias("all_types"),
+            F.sum("n").alias("n_events"),
+            F.sum("v").cast("decimal(28,2)").alias("total"),
+        )
+        .withColumn("day", F.when(F.col("all_days") == 1, "all").otherwise(F.col("day")))
+        .withColumn("event_type", F.when(F.col("all_types") == 1, "all").otherwise(F.col("event_type")))
     )
 
 
