@@ -12,10 +12,10 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidewheel import plans
-from tidewheel.plans.streams import BATCH_CONF
+from tidewheel.plans.streams import BATCH_CONF, ROWS_CONF
 from tidewheel.sources.tables import stream
 from tidewheel.streaming import events as streams
-from tidewheel.streaming.runs import run_to_files, stream_session
+from tidewheel.streaming.runs import run_to_files, stream_session, time_slices
 
 SCHEMA = pa.schema(
     [
@@ -172,11 +172,64 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, run, build, columns):
     assert rows(stopped) and rows(stopped) == rows(at_once)
 
 
-@pytest.mark.parametrize(
-    "name",
-    ["stream_daily_events", "stream_events_without_repeats", "stream_views_with_purchases",
-     "stream_user_sessions", "stream_spending_marks"],
-)
+STREAMS = [
+    "stream_daily_events", "stream_events_without_repeats", "stream_views_with_purchases",
+    "stream_user_sessions", "stream_spending_marks",
+]
+
+
+def batches_of(rows):
+    """How many batches wrote ``rows``: each commit in the checkpoint beside them is one."""
+    run = os.path.dirname(os.path.dirname(rows.inputFiles()[0].removeprefix("file://")))
+    return sum(x.isdigit() for x in os.listdir(f"{run}/checkpoint/commits"))
+
+
+@pytest.mark.parametrize("name", STREAMS)
+@pytest.mark.parametrize("rows_per_batch", [None, 400])
+def test_registered_streams_over_files_out_of_order_equal_their_sql(spark, name, rows_per_batch):
+    table = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "ascending")])
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    os.makedirs(f"{folder}/events.parquet")
+    part = -(-table.num_rows // 10)
+    # Ten files, the latest rows in the first two, which share their times, and so on backwards.
+    for i in range(10):
+        rows = table.slice((9 - i) * part, part) if i > 1 else table.slice(8 * part).take(
+            list(range(i, table.num_rows - 8 * part, 2))
+        )
+        pq.write_table(rows, f"{folder}/events.parquet/{i:03}.parquet")
+        os.utime(f"{folder}/events.parquet/{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    assert con.execute("select count(*) from events").fetchone()[0] == table.num_rows
+    found = con.execute(plans.ORACLES[name])
+    names = [c[0] for c in found.description]
+    if rows_per_batch:
+        spark.conf.set(ROWS_CONF, str(rows_per_batch))
+    try:
+        rows = plans.QUERIES[name](spark, folder)
+        got = rows.select(*names).collect()
+    finally:
+        spark.conf.unset(ROWS_CONF)
+    if rows_per_batch:
+        assert batches_of(rows) >= 3
+    assert Counter(map(tuple, got)) == Counter(found.fetchall())
+
+
+def test_slices_follow_in_time_and_rows_without_a_time_come_first(spark):
+    rows = spark.sql(
+        "SELECT id, CASE WHEN id % 50 = 0 THEN NULL ELSE timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id % 97 * 7) END AS ts"
+        " FROM range(5000)"
+    )
+    folders = time_slices(rows, "ts", 700, "test")
+    parts = [pq.read_table(f.removeprefix("file:")).to_pylist() for f in folders]
+    assert len(parts) > 3 and Counter(r["id"] for p in parts for r in p) == Counter(range(5000))
+    assert all(r["ts"] for p in parts[1:] for r in p)
+    ends = [(min(t), max(t)) for t in ([r["ts"] for r in p if r["ts"]] for p in parts)]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert time_slices(rows, "ts", 5000, "test") == [] == time_slices(rows.where("false"), "ts", 10, "test")
+
+
+@pytest.mark.parametrize("name", STREAMS)
 def test_registered_streams_in_bounded_batches_equal_their_sql(spark, name):
     table = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "ascending")])
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -196,7 +249,5 @@ def test_registered_streams_in_bounded_batches_equal_their_sql(spark, name):
         got = rows.select(*names).collect()
     finally:
         spark.conf.unset(BATCH_CONF)
-    # Each commit in the checkpoint beside the rows is a batch.
-    run = os.path.dirname(os.path.dirname(rows.inputFiles()[0].removeprefix("file://")))
-    assert sum(x.isdigit() for x in os.listdir(f"{run}/checkpoint/commits")) >= 4
+    assert batches_of(rows) >= 4
     assert Counter(map(tuple, got)) == Counter(found.fetchall())

@@ -4,10 +4,14 @@ A window, session or hour that is still open when the stream stops is not in
 its result; the SQL leaves the same ones out. The watermark is one hour behind
 the latest event.
 
-The setting ``spark.tidewheel.streamBatchBytes`` bounds the bytes of one micro-batch
-(at least one file is taken), and so the state held at once. It asks for files that
-follow in time up to the hour; unset, all files make one batch and their order does
-not matter.
+Files may come in any order of time. The events are cut into slices of whole
+hours, of about ``spark.tidewheel.streamBatchRows`` rows (50,000,000 unless set), which
+are streamed one after the other: that bounds a micro-batch and the state held at
+once. A table of one slice is streamed as it is.
+
+Where files follow in time up to the hour, the setting
+``spark.tidewheel.streamBatchBytes`` bounds the bytes of one micro-batch instead (at
+least one file is taken), and the events are not written a second time.
 """
 
 from __future__ import annotations
@@ -17,21 +21,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.plans.registry import query
-from tidewheel.sources.tables import stream
+from tidewheel.sources.tables import stream, stream_of, table
 from tidewheel.streaming import events as streams
-from tidewheel.streaming.runs import run_to_files, stream_session
+from tidewheel.streaming.runs import run_slices, run_to_files, stream_session, time_slices
 
 DELAY = "1 hour"
 BATCH_CONF = "spark.tidewheel.streamBatchBytes"
+ROWS_CONF = "spark.tidewheel.streamBatchRows"
+BATCH_ROWS = 50_000_000
 
 
 def _run(
     spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
+    own = stream_session(spark)
     bound = spark.conf.get(BATCH_CONF, None)
-    events = stream(
-        stream_session(spark), folder, "events", bytes_per_batch=int(bound) if bound else None
-    )
+    if not bound:
+        depth = int(spark.conf.get(ROWS_CONF, str(BATCH_ROWS)))
+        slices = time_slices(table(spark, folder, "events"), "ts", depth, name)
+        if slices:
+            return run_slices(slices, lambda path: stream_of(own, path, "events"), build, name, spark)
+    events = stream(own, folder, "events", bytes_per_batch=int(bound) if bound else None)
     return run_to_files(build(events), name, spark)
 
 

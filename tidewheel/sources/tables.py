@@ -42,10 +42,21 @@ def stream(
     Bounded batches take the files by their age. A row older than the watermark
     that earlier files have set is late, so files must follow in time up to the delay.
     """
+    # A pattern, since a plain path must be a folder and a table may be one file.
+    return stream_of(spark, f"{folder}/{name}[.]parquet", name, files_per_batch, bytes_per_batch)
+
+
+def stream_of(
+    spark: SparkSession,
+    path: str,
+    name: str,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
+) -> DataFrame:
+    """The files at ``path``, which have the columns of the table, as a stream."""
     reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
-    # A pattern, since a plain path must be a folder and a table may be one file.
-    return reader.parquet(f"{folder}/{name}[.]parquet")
+    return reader.parquet(path)

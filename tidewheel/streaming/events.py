@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,17 +24,23 @@ def closed_windows(events: DataFrame, size: str, delay: str) -> DataFrame:
     return tumbling(event_time(events, "ts", delay), "at", size, ["event_type"], totals)
 
 
-def without_repeats(events: DataFrame, delay: str, shares: int = 16) -> DataFrame:
+def without_repeats(events: DataFrame, delay: str) -> DataFrame:
     """Each event once, however often it is delivered within ``delay``.
 
     An event delivered very often is first reduced by the tasks that read it,
-    each for its own share of the copies, so that the task that settles the
-    event gets at most ``shares`` of them.
+    to one for each Arrow batch, which takes no state. So the task that settles the event
+    gets few of its copies, and each event is held once.
     """
-    timed = event_time(events, "ts", delay)
-    shared = timed.withColumn("_share", F.spark_partition_id() % shares)
-    once_per_share = shared.dropDuplicatesWithinWatermark(["event_id", "_share"])
-    return once_per_share.dropDuplicatesWithinWatermark(["event_id"]).drop("at", "_share")
+    place = events.columns.index("event_id")
+
+    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(place).dictionary_encode(null_encoding="encode").indices
+            firsts = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)[1]
+            yield batch.take(pa.array(np.sort(firsts)))
+
+    fewer = events.mapInArrow(first_of_each, events.schema)
+    return event_time(fewer, "ts", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("at")
 
 
 def views_with_purchases(events: DataFrame, length: str, delay: str) -> DataFrame:
