@@ -26,22 +26,30 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Share of the input's bytes that the largest exchange of a query takes: a quarter of the
+#: columns, and rows that are rarely summed to less than a half.
+SHUFFLED_SHARE = 0.125
+
 
 def build_session(
-    app: str, master: str | None = None, input_bytes: int = 0, extra: dict[str, str] | None = None
+    app: str,
+    master: str | None = None,
+    input_bytes: int = 0,
+    extra: dict[str, str] | None = None,
+    shuffled_share: float = SHUFFLED_SHARE,
 ) -> SparkSession:
     """A session with the settings above.
 
-    ``input_bytes`` sizes the shuffle to about 128 MB a partition; AQE merges
-    what turns out small, so an estimate that is too high is the safe side.
+    The shuffle is sized to about 128 MB a partition of what is shuffled, not of
+    ``input_bytes``: columns are pruned and sums are made before the shuffle, so the largest
+    exchange takes about ``shuffled_share`` of the input. AQE merges what turns out small.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if input_bytes:
-        builder = builder.config(
-            "spark.sql.shuffle.partitions", str(max(8, input_bytes // (128 << 20)))
-        )
+        partitions = max(8, int(input_bytes * shuffled_share) // (128 << 20))
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
