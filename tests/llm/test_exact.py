@@ -52,6 +52,16 @@ def test_pieces_equal_the_library(spark, small, texts, odd):
         assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.decoded == library.decode(ids)
 
 
+def test_pieces_in_one_pass_equal_the_two_steps(odd):
+    model = q.tokenizer()
+    rows = odd.withColumn("IDS", F.lit("old")).withColumn("decoded", F.lit(3))
+    want = pieces.decode(pieces.encode(odd, model), model)
+    got = pieces.round_trip(rows, model)
+    assert got.columns == want.columns
+    assert Counter(map(str, rows_of(got))) == Counter(map(str, rows_of(want)))
+    assert pieces.round_trip(odd.where("false"), model).count() == 0
+
+
 def test_pieces_decode_any_ids():
     import sentencepiece
 

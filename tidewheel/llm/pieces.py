@@ -212,3 +212,22 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
         return lambda packed: [[table.decode(x) for x in utf8(packed)]]
 
     return append(df, make, [ids], f"`{text}` string")
+
+
+def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds ``ids`` and what they decode to, as :func:`encode` and :func:`decode` do, in one pass.
+
+    One Python worker does both for a task, where the two steps in a row hold two.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(read_model(model))
+
+    def make():
+        table = PieceTable(sent.value)
+
+        def both(texts):
+            packed = [table.encode(x or "") for x in texts.to_pylist()]
+            return [packed, list(map(table.decode, packed))]
+
+        return both
+
+    return append(df, make, [text], f"`{ids}` binary, `{decoded}` string")
