@@ -152,6 +152,57 @@ def test_block_tables_find_all_pairs(spark):
         assert got == want and want
 
 
+@pytest.mark.parametrize("folder", ["small", "middle"])
+def test_search_by_tables_equals_all_pairs_of_whole_tables(spark, folder, request):
+    rows = q.QUERIES["op1_simhash"](spark, request.getfixturevalue(folder)).collect()
+    prints = [int(r.fingerprint, 16) for r in rows]
+    assert len({r.doc_id for r in rows}) == len(rows)
+    for r in rows:
+        near = sum(bin(int(r.fingerprint, 16) ^ p).count("1") <= q.NEAR_BITS for p in prints) - 1
+        assert r.near_rows == (near if r.doc_id % 100 == 0 else None)
+
+
+def test_rows_near_with_copies_nulls_and_none(spark):
+    rng = random.Random(7)
+    bases = [rng.getrandbits(128) for _ in range(12)]
+    made = [b ^ sum(1 << bit for bit in rng.sample(range(128), rng.randint(0, 7))) for b in bases for _ in range(9)]
+    made += made[:20] + [made[0]] * 50
+    rows = [(i, f"{x:032x}") for i, x in enumerate(made)] + [(None, f"{made[0]:032x}"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
+    for radius in (1, 3, 5):
+        got = {r.fingerprint: r.near_rows for r in simhash.near_rows(df, F.col("doc_id") % 3 == 0, radius).collect()}
+        full = [int(f, 16) for _, f in rows if f]
+        asked = {f for k, f in rows if f and k is not None and k % 3 == 0}
+        want = {f: sum(bin(int(f, 16) ^ p).count("1") <= radius for p in full) - 1 for f in asked}
+        assert got == want and max(want.values()) > 50
+    assert simhash.near_rows(df.where("false"), F.lit(True), 3).count() == 0
+
+
+def vote_by_vote(text):
+    """A fingerprint bit by bit: every term's hash in turn, with its weight."""
+    words = [zlib.crc32(w) + 1 for w in text.lower().split()]
+    mask, odd = (1 << 64) - 1, [int(x) for x in simhash._ODD]
+
+    def mixed(h, by):
+        h = h * odd[by] & mask
+        h = (h ^ h >> 29) * odd[by + 1] & mask
+        return h ^ h >> 32
+
+    words, votes = [mixed(w, 0) for w in words], [0.0] * 128
+    triples = [mixed(mixed(a ^ b, 2) ^ c, 2) for a, b, c in zip(words, words[1:], words[2:])]
+    for found, weight in ((Counter(words), 0.5), (Counter(triples), 1.0)):
+        for h, n in found.items():
+            stream = b"".join(mixed(h, by).to_bytes(8, "little") for by in (4, 6))
+            for bit in range(128):
+                votes[bit] += weight * (1 + math.log(n)) * (1 if stream[bit // 8] >> 7 - bit % 8 & 1 else -1)
+    return sum(1 << 127 - bit for bit in range(128) if votes[bit] > 1e-9)
+
+
+def test_fingerprints_equal_votes_one_by_one(texts):
+    for text in [t.encode()[:3000] for _, t in texts[:25]] + [b"", b"one", b"a b", b"a a a a b", b"A B c"]:
+        assert simhash.fingerprint(text) == f"{vote_by_vote(text):032x}"
+
+
 def test_base_scores_by_hand(spark, small, texts, odd):
     def tokens(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

@@ -110,43 +110,67 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def near_pairs(df: DataFrame, radius: int, name: str = "fingerprint") -> DataFrame:
-    """All pairs of different fingerprints at most ``radius`` bits apart: ``a < b``, ``bits``.
-
-    Rows with equal fingerprints count once; join the result with the rows for
-    their members. Null fingerprints have no pairs.
-    """
+def _blocks(radius: int) -> tuple[Callable[[Column, int], Column], list[tuple[int, int]]]:
+    """What cuts a block out of a fingerprint, and the pairs of blocks that have a table."""
     if not 0 < radius <= DIGITS - 2:
         raise ValueError(f"radius must be from 1 to {DIGITS - 2}")
-    blocks = radius + 2
-    edges = [round(i * DIGITS / blocks) for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), 2))
+    edges = [round(i * DIGITS / (radius + 2)) for i in range(radius + 3)]
 
     def cut(c: Column, block: int) -> Column:
         return F.substring(c, edges[block] + 1, edges[block + 1] - edges[block])
 
-    once = df.select(F.col(name).alias("_fp")).where(F.col("_fp").isNotNull()).distinct()
-    keyed = once.select(
-        "_fp",
-        F.posexplode(
-            F.array(*[F.concat(cut(F.col("_fp"), x), cut(F.col("_fp"), y)) for x, y in tables])
-        ).alias("_table", "_key"),
-    )
-    left = keyed.select(F.col("_fp").alias("a"), "_table", "_key")
-    right = keyed.select(F.col("_fp").alias("b"), "_table", "_key")
-    same = [cut(F.col("a"), i) == cut(F.col("b"), i) for i in range(blocks)]
+    return cut, list(combinations(range(radius + 2), 2))
+
+
+def _keyed(prints: DataFrame, name: str, radius: int) -> DataFrame:
+    """Each row once for every table, with the bits of the table's two blocks."""
+    cut, tables = _blocks(radius)
+    c = F.col(name)
+    keys = F.array(*[F.concat(cut(c, x), cut(c, y)) for x, y in tables])
+    return prints.select("*", F.posexplode(keys).alias("_table", "_key"))
+
+
+def _met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """Rows of two keyed sides, with fingerprints ``a`` and ``b``, that are within the radius, once each."""
+    cut, tables = _blocks(radius)
+    same = [cut(F.col("a"), i) == cut(F.col("b"), i) for i in range(radius + 2)]
     first = F.lit(None)
     for n, (x, y) in reversed(list(enumerate(tables))):
         first = F.when(same[x] & same[y], n).otherwise(first)
     return (
         left.join(right, ["_table", "_key"])
-        .where((F.col("a") < F.col("b")) & (F.col("_table") == first))
+        .where((F.col("a") != F.col("b")) & (F.col("_table") == first))
         .withColumn("bits", distance(F.col("a"), F.col("b")))
         .where(F.col("bits") <= radius)
-        .select("a", "b", "bits")
     )
 
 
+def near_pairs(df: DataFrame, radius: int, name: str = "fingerprint") -> DataFrame:
+    """All pairs of different fingerprints at most ``radius`` bits apart: ``a < b``, ``bits``.
+
+    Rows with equal fingerprints count once; join the result with the rows for
+    their members. Null fingerprints have no pairs.
+    """
+    once = df.select(F.col(name).alias("a")).where(F.col(name).isNotNull()).distinct()
+    keyed = _keyed(once, "a", radius)
+    return _met(keyed, keyed.withColumnRenamed("a", "b"), radius).where("a < b").select("a", "b", "bits")
+
+
+def near_rows(df: DataFrame, sought: Column, radius: int, name: str = "fingerprint") -> DataFrame:
+    """For each fingerprint of a row that ``sought`` takes: ``near_rows``, the other rows within the radius.
+
+    The rows sought are the questions, all rows of ``df`` are searched. Rows with one
+    fingerprint are counted before they meet a table, so copies are never paired; a row is
+    not its own neighbour, its copies are. Null fingerprints neither ask nor answer.
+    """
+    prints = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("b"))
+    prints = prints.agg(F.count("*").alias("_n"), F.max(F.coalesce(sought, F.lit(False))).alias("_sought"))
+    asked = prints.where("_sought").select(F.col("b").alias("a"), (F.col("_n") - 1).alias("near"))
+    met = _met(_keyed(asked.select("a"), "a", radius), _keyed(prints.select("b", "_n"), "b", radius), radius)
+    both = asked.unionByName(met.select("a", F.col("_n").alias("near")))
+    return both.groupBy(F.col("a").alias(name)).agg(F.sum("near").alias("near_rows"))
+
+
 def with_next(
     df: DataFrame,
     columns: list[str],
