@@ -99,9 +99,9 @@ def test_urls_by_trie_and_by_join(spark, limit):
 
 
 def test_next_rows_and_fingerprints(spark, small, texts):
-    for slots in (1, 7):
+    for depth in (1000, 30):
         docs = common.table(spark, small, "documents")
-        rows = simhash.with_next(docs, ["text"], slots=slots).collect()
+        rows = simhash.with_next(docs, ["text"], depth=depth).collect()
         follow = {k: t for (k, _), (_, t) in zip(texts, texts[1:] + texts[:1])}
         assert {r.doc_id: r.next_text for r in rows} == follow and len(rows) == len(texts)
     got = q.QUERIES["op1_simhash"](spark, small).collect()
@@ -124,11 +124,30 @@ def test_next_of_one_row_ties_and_none(spark, odd):
     one = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     assert rows_of(simhash.with_next(one, ["text"])) == [(1, "x", "x")]
     assert simhash.with_next(one.where("false"), ["text"]).count() == 0
-    rows = simhash.with_next(odd, ["text"], slots=5).collect()
-    assert len(rows) == odd.count()
-    order = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    order = sorted(
+        odd.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect(),
+        key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text is not None, r.text or ""),
+    )
     want = Counter((a.doc_id, a.text, b.text) for a, b in zip(order, order[1:] + order[:1]))
-    assert Counter((r.doc_id, r.text, r.next_text) for r in rows) == want
+    for depth in (None, 2):
+        rows = simhash.with_next(odd, ["text"], depth=depth).collect()
+        assert Counter((r.doc_id, r.text, r.next_text) for r in rows) == want
+
+
+def test_next_where_one_id_holds_a_third(spark, monkeypatch):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 77).otherwise(F.col("id") * 5 - 4000).alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id")).alias("text"),
+    )
+    cut = simhash.ranges(docs, ["text"], "doc_id", depth=50)
+    sizes = [r["count"] for r in cut.groupBy("_segment").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 100 and len(sizes) < 150
+    order = sorted(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").collect())
+    want = Counter((a.doc_id, a.text, b.text) for a, b in zip(order, order[1:] + order[:1]))
+    for sent in (simhash.RANGES_SENT, 0):
+        monkeypatch.setattr(simhash, "RANGES_SENT", sent)
+        got = simhash.with_next(docs, ["text"], depth=50).collect()
+        assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
 
 
 def test_block_tables_find_all_pairs(spark):

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import append, utf8
+from tidewheel.llm.common import append, saved, utf8
+from tidewheel.operators import segments
 
 BITS = 128
 DIGITS = BITS // 4
@@ -35,6 +36,9 @@ DIGITS = BITS // 4
 SPAN_WEIGHTS = {1: 0.5, 3: 1.0}
 #: Terms are voted on so many at a time.
 BLOCK_TERMS = 1 << 16
+#: Rows of a range of keys, and ranges whose first keys (three numbers each) are broadcast.
+RANGE_ROWS = 50_000
+RANGES_SENT = 1_000_000
 #: +1 or -1 for each bit of each byte value.
 SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
 _PLACES = np.arange(BITS // 8) * 256
@@ -171,51 +175,56 @@ def near_rows(df: DataFrame, sought: Column, radius: int, name: str = "fingerpri
     return both.groupBy(F.col("a").alias(name)).agg(F.sum("near").alias("near_rows"))
 
 
+def ranges(df: DataFrame, columns: list[str], key: str, depth: int | None = None) -> DataFrame:
+    """``_key`` (a whole number), ``_tie``, ``columns`` and the number of the row's range, which rises with them.
+
+    ``_tie`` is a hash of ``columns`` and orders rows of one key, so that a key of many rows is
+    cut as well. A range has at most about twice ``depth`` rows, unless more are equal in
+    all of it; by default as many ranges as shuffle partitions, and more beyond ``RANGE_ROWS`` rows each.
+    """
+    rows = df.select(F.col(key).cast("long").alias("_key"), *columns).withColumn("_tie", F.xxhash64(*columns))
+    if depth is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        depth = min(RANGE_ROWS, -(-rows.count() // partitions))
+    piece = segments.cut(rows, [], [F.col("_key"), F.col("_tie")], depth=float(max(depth, 1)))
+    return piece.rows if piece.split else rows.withColumn(segments.SEGMENT, F.lit(1).cast("long"))
+
+
 def with_next(
     df: DataFrame,
     columns: list[str],
     key: str = "doc_id",
     add: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-    slots: int | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
     """``key``, ``columns`` and what ``add`` gives, each but ``key`` also as ``next_*``: the next row's by ascending key.
 
-    The last row gets the first's. Rows of one key follow each other by their
-    columns; a null key comes first. The rows are cut into ranges of the key, and
-    each range gets the first row of the next range that has rows, so the rows
-    are shuffled once and no task holds them all.
+    The last row gets the first's. Rows of one key follow each other by a hash of their
+    columns, then by the columns; a null key comes first. The rows are cut into ranges
+    (see :func:`ranges`), and each range gets the first row of the next one, so the rows
+    are shuffled once and no task holds them all. Of the ranges, their first keys alone
+    meet in one task. Rows equal in key and columns stay in one range.
     """
-    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key).alias("_key"), *columns)
-    steps = [i / slots for i in range(1, slots)]
-    cuts = []
-    if steps:
-        places = rows.select(F.col("_key").cast("double"))
-        cuts = sorted(set(places.approxQuantile("_key", steps, 1 / (8 * slots))))
-    # The number of cuts below a key; there are fewer cuts than shuffle partitions.
-    ends = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    below = F.size(F.filter(ends, lambda e: e < F.col("_key").cast("double")))
-    rows = rows.withColumn("_slot", F.when(F.col("_key").isNull(), 0).otherwise(below).cast("int"))
-    lowest = rows.groupBy("_slot").agg(
-        F.min("_key").alias("_low"), F.max(F.col("_key").isNull()).alias("_null")
+    place = segments.SEGMENT
+    rows = ranges(df, columns, key, depth)
+    lowest = rows.groupBy(place).agg(F.min(F.struct("_key", "_tie")).alias("_low"))
+    before = F.coalesce(F.lag(place).over(W.orderBy(place)), F.max(place).over(W.partitionBy()))
+    firsts = saved(
+        lowest.select(
+            F.col(place).alias("_at"), F.col("_low._key").alias("_low_key"),
+            F.col("_low._tie").alias("_low_tie"), before.alias("_before"),
+        ),
+        "ranges",
     )
-    lowest = {r[0]: None if r[2] else r[1] for r in lowest.collect()}
-    filled = sorted(lowest)
-    carried = rows.where(F.lit(False)).withColumn("_carried", F.lit(True))
-    if filled:
-        # One row for each range, looked up by its key.
-        moved = F.create_map(*[F.lit(x) for pair in zip(filled, [filled[-1], *filled[:-1]]) for x in pair])
-        keys = [k for k in lowest.values() if k is not None]
-        wanted = F.col("_key").isin(keys)
-        if len(keys) < len(lowest):
-            wanted = wanted | F.col("_key").isNull()
-        firsts = rows.where(wanted).groupBy("_slot", "_key").agg(F.min(F.struct(*columns)).alias("_row"))
-        carried = firsts.select(
-            "_key", "_row.*", moved[F.col("_slot")].cast("int").alias("_slot"), F.lit(True).alias("_carried")
-        )
+    if firsts.count() <= RANGES_SENT:
+        firsts = F.broadcast(firsts)
+    met = (F.col(place) == F.col("_at")) & (F.col("_tie") == F.col("_low_tie"))
+    met &= F.col("_key").eqNullSafe(F.col("_low_key"))
+    carried = rows.join(firsts, met).groupBy("_before", "_key", "_tie").agg(F.min(F.struct(*columns)).alias("_row"))
+    carried = carried.select("_key", "_tie", "_row.*", F.col("_before").alias(place), F.lit(True).alias("_carried"))
     both = add(rows.withColumn("_carried", F.lit(False)).unionByName(carried))
     led = [c for c in both.columns if not c.startswith("_")]
-    window = W.partitionBy("_slot").orderBy("_carried", F.asc_nulls_first("_key"), *columns)
+    window = W.partitionBy(place).orderBy("_carried", F.asc_nulls_first("_key"), "_tie", *columns)
     return (
         both.withColumns({f"next_{c}": F.lead(c).over(window) for c in led})
         .where(~F.col("_carried"))
