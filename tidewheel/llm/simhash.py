@@ -141,8 +141,13 @@ def _met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     first = F.lit(None)
     for n, (x, y) in reversed(list(enumerate(tables))):
         first = F.when(same[x] & same[y], n).otherwise(first)
+    # Shuffled as numbers and bytes; the table of the left side tells which key was shared.
+    shared = F.xxhash64("_table", "_key").alias("_hash")
+    left = left.select("*", shared).drop("_key")
+    right = right.select("*", shared, F.unhex("b").alias("_b")).drop("_table", "_key", "b")
     return (
-        left.join(right, ["_table", "_key"])
+        left.join(right, "_hash")
+        .withColumn("b", F.lower(F.hex("_b")))
         .where((F.col("a") != F.col("b")) & (F.col("_table") == first))
         .withColumn("bits", distance(F.col("a"), F.col("b")))
         .where(F.col("bits") <= radius)
