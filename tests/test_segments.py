@@ -50,3 +50,23 @@ def test_cuts_too_many_to_broadcast_are_joined_as_a_table(spark, tied, monkeypat
     w = W.partitionBy("key").orderBy("at", "id")
     want = tied.select("id", F.row_number().over(w), F.dense_rank().over(W.partitionBy("key").orderBy("at")))
     assert sorted(map(tuple, out.select("id", "row_number", "dense_rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_row_is_joined_with_more_cuts_than_one_step_searches(spark, tied, monkeypatch):
+    widths, joined = [], segments._joined
+
+    def seen(rows, small, on):
+        for field in small.schema:
+            if field.dataType.typeName() == "array":
+                widths.append(small.agg(F.max(F.size(field.name))).first()[0])
+        return joined(rows, small, on)
+
+    monkeypatch.setattr(segments, "_joined", seen)
+    piece = cut(tied, ["key"], [F.col("at"), *numbers(tied, ["id"])], depth=10)
+    sizes = [r["count"] for r in piece.rows.groupBy(SEGMENT).count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 2 * 10 and len(sizes) > 400
+    assert widths and max(widths) <= 45
+    # Segments rise with the order.
+    w = W.orderBy(SEGMENT)
+    ends = piece.rows.groupBy(SEGMENT).agg(F.min(F.struct("at", "id")).alias("low"), F.max(F.struct("at", "id")).alias("high"))
+    assert not ends.withColumn("before", F.lag("high").over(w)).where("before >= low").count()

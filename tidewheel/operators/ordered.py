@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.functions.columns import length_in_seconds, seconds, span
-from tidewheel.operators.segments import AHEAD, BEFORE, BEHIND, SEGMENT, SO_FAR, Cut, cut, numbers
+from tidewheel.operators.segments import AHEAD, BEFORE, BEHIND, LARGE, SEGMENT, SO_FAR, Cut, cut, numbers
 
 
 def running_totals(
@@ -121,7 +121,7 @@ def _ranks(piece: Cut, by: str, ties: list[str], descending: bool, dense: bool)
     }
     if dense:
         changed["dense_rank"] = F.col("dense_rank") + F.coalesce("_values_ahead", F.lit(0))
-    return out.withColumns(changed).drop(SEGMENT, "_segment_key", *offsets)
+    return out.withColumns(changed).drop(SEGMENT, LARGE, "_segment_key", *offsets)
 
 
 def tile(buckets: int) -> Column:

@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 from tidewheel.session import shared_folder
 
 SEGMENT = "_segment"
+#: Whether a row's key is large. Filters name this and not the segment: Spark moves a filter below the
+#: steps that find the segment, and puts what they compute in its place.
+LARGE = "_large"
 ROLE = "_role"
 AHEAD, OWN, BEHIND = -1, 0, 1
 
@@ -38,8 +41,8 @@ DEPTH = 1_000_000
 FAN = 1000
 # Numbers of a round's segments: one below, at and above each cut.
 BASE = 2 * FAN + 1
-# Cuts are searched in two steps, first among every so many.
-STEP = 32
+# Cuts are searched in two steps, first among every so many; its square is no less than ``BASE``.
+STEP = 45
 # Keys, and cuts of all keys, that may pass the driver and be broadcast; more stay tables.
 HELD = 100_000
 
@@ -65,7 +68,7 @@ class Cut:
 
     def summary(self, *aggregates: Column) -> DataFrame:
         """One row for each segment of each large key."""
-        return self.rows.where(F.col(SEGMENT) > 0).groupBy(*self.groups).agg(*aggregates)
+        return self.rows.where(LARGE).groupBy(*self.groups).agg(*aggregates)
 
     def across(self) -> WindowSpec:
         """Over a summary: a large key's segments in order."""
@@ -79,7 +82,7 @@ class Cut:
         return out
 
     def own(self, df: DataFrame) -> DataFrame:
-        return df.where(F.col(ROLE) == OWN).drop(SEGMENT, ROLE) if self.split else df
+        return df.where(F.col(ROLE) == OWN).drop(SEGMENT, LARGE, ROLE) if self.split else df
 
 
 def numbers(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -137,49 +140,68 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(named, same, "left").drop(*[f"_key{c}" for c in on])
 
 
-def _cuts(points: DataFrame, by: list[str], axes: list[str], depth: float, above: float) -> DataFrame:
-    """For each group with more rows than ``above``: which axis cuts it, and where.
-
-    A cut is a number and whether rows equal to it lie before it.
-    """
-    steps = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+def _too_large(points: DataFrame, by: list[str], axes: list[str], above: float) -> DataFrame:
+    """The groups with more rows than ``above`` that can be cut, and which axis cuts them: the first that varies."""
     found = points.groupBy(*by).agg(
         F.count("*").alias("_n"),
         *[F.min(a).alias(f"_low{a}") for a in axes],
         *[F.max(a).alias(f"_high{a}") for a in axes],
-        *[F.percentile_approx(a, steps, 10 * FAN).alias(f"_at{a}") for a in axes],
     )
-    which, places = F.lit(None).cast("int"), F.array().cast("array<double>")
+    which = F.lit(None).cast("int")
     for i, a in reversed(list(enumerate(axes))):
-        varies = F.col(f"_low{a}") < F.col(f"_high{a}")
-        which = F.when(varies, F.lit(i)).otherwise(which)
-        places = F.when(varies, F.col(f"_at{a}")).otherwise(places)
+        which = F.when(F.col(f"_low{a}") < F.col(f"_high{a}"), F.lit(i)).otherwise(which)
+    return found.where(F.col("_n") > above).select(*by, "_n", which.alias("_which")).where("_which is not null")
+
+
+def _value(axes: list[str]) -> Column:
+    value = F.lit(None).cast("double")
+    for i, a in enumerate(axes):
+        value = F.when(F.col("_which") == i, F.col(a)).otherwise(value)
+    return value
+
+
+def _cuts(points: DataFrame, large: DataFrame, by: list[str], axes: list[str], depth: float) -> DataFrame:
+    """Where the ``large`` groups are cut: numbers, and whether rows equal to one lie before the cut."""
+    steps = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    points = _joined(points, large, by).where("_which is not null")
+    found = points.groupBy(*by, "_which", "_n").agg(F.percentile_approx(_value(axes), steps, 10 * FAN).alias("_places"))
     stride = F.greatest(F.floor(F.lit(FAN * depth) / F.col("_n")), F.lit(1))
-    found = found.where(F.col("_n") > above).select(*by, which.alias("_which"), places.alias("_places"), stride.alias("_stride"))
     thin = F.expr("filter(_places, (x, i) -> (i + 1) % _stride = 0)")
-    found = found.where("_which is not null").select(*by, "_which", thin.alias("_thin"))
+    found = found.withColumn("_stride", stride).select(*by, "_which", thin.alias("_thin"))
     # A place met twice is one value of more than the depth: it is cut off on both sides.
     cuts = F.expr(
         "flatten(transform(array_distinct(_thin), x -> if(size(filter(_thin, y -> y = x)) > 1,"
         " array(struct(x as at, false as with), struct(x as at, true as with)), array(struct(x as at, true as with)))))"
     )
-    return found.select(*by, "_which", cuts.alias("_cuts")).withColumn("_many", F.size("_cuts"))
+    return found.select(*by, "_which", cuts.alias("_cuts")).withColumn("_many", F.size("_cuts")).where("_many > 0")
+
+
+def _passed(cuts: str) -> Column:
+    """How many of up to ``STEP`` cuts lie before the row, found by halving; none if there are no cuts."""
+    c = f"get({cuts}, k + s - 1)"
+    strides = ", ".join(str(1 << i) for i in reversed(range(STEP.bit_length())))
+    return F.expr(
+        f"aggregate(array({strides}), 0, (k, s) -> if(k + s <= size({cuts})"
+        f" and (_value > {c}.at or (_value = {c}.at and not {c}.with)), k + s, k))"
+    )
 
 
 def _cut_once(rows: DataFrame, cuts: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
-    """The rows with the segment's number refined by one round of cuts."""
-    value = F.lit(None).cast("double")
-    for i, a in enumerate(axes):
-        value = F.when(F.col("_which") == i, F.col(a)).otherwise(value)
-    passed = "(_value > c.at or (_value = c.at and not c.with))"
-    rows = _joined(rows, cuts.drop("_many"), by).withColumn("_value", value)
-    rows = rows.withColumn(
-        "_steps", F.expr(f"size(filter(_heads, c -> {passed}))") if "_heads" in rows.columns else F.lit(0)
+    """The rows with the segment's number refined by one round of cuts.
+
+    A row's place is the number of cuts before it: first among every ``STEP``-th, then among those that follow.
+    Each row is joined with ``STEP`` cuts at a time, since Spark copies into it what it is searched in.
+    """
+    starts = f"sequence(0, _many - 1, {STEP})"
+    heads = cuts.select(*by, "_which", F.expr(f"transform({starts}, i -> _cuts[i])").alias("_heads"))
+    runs = F.expr(f"transform({starts}, i -> struct(cast(i / {STEP} as int) + 1 as step, i as ahead, slice(_cuts, i + 1, {STEP}) as run))")
+    runs = cuts.select(*by, F.explode(runs).alias("_one")).select(
+        *by, F.col("_one.step").alias("_step"), F.col("_one.ahead").alias("_ahead"), F.col("_one.run").alias("_run")
     )
-    inner = F.expr(f"size(filter(slice(_cuts, greatest(_steps - 1, 0) * {STEP} + 1, {STEP}), c -> {passed}))")
-    place = F.when(F.col("_which").isNull(), 0).otherwise(F.greatest(F.col("_steps") - 1, F.lit(0)) * STEP + inner)
-    number = F.col(SEGMENT) * BASE + place
-    return rows.withColumn(SEGMENT, number.cast("bigint")).drop("_which", "_cuts", "_heads", "_value", "_steps")
+    rows = _joined(rows, heads, by).withColumn("_value", _value(axes)).withColumn("_step", _passed("_heads"))
+    rows = _joined(rows.drop("_which", "_heads"), runs, [*by, "_step"])
+    number = F.col(SEGMENT) * BASE + F.coalesce("_ahead", F.lit(0)) + _passed("_run")
+    return rows.withColumn(SEGMENT, number.cast("bigint")).drop("_value", "_step", "_ahead", "_run")
 
 
 def cut(
@@ -210,7 +232,7 @@ def cut(
     known = None
     if keys:
         counts = basis.groupBy(*keys).agg(F.count("*").alias("_n"))
-        known, n = _pinned(counts.where(F.col("_n") > depth).select(*keys, F.lit(True).alias("_large")))
+        known, n = _pinned(counts.where(F.col("_n") > depth).select(*keys, F.lit(True).alias(LARGE)))
         if not n:
             return Cut(df, keys, False, int(depth))
 
@@ -225,19 +247,19 @@ def cut(
         rows = rows.withColumns(axes)
         if known is None:
             # Always 1, but no constant, by which a join would become a loop over pairs.
-            return rows.withColumn(SEGMENT, F.pmod(F.xxhash64(next(iter(axes))), F.lit(1)) + 1)
-        rows = _joined(rows, known, keys)
-        return rows.withColumn(SEGMENT, F.when(F.col("_large"), 1).otherwise(0).cast("bigint")).drop("_large")
+            return rows.withColumn(SEGMENT, F.pmod(F.xxhash64(next(iter(axes))), F.lit(1)) + 1).withColumn(LARGE, F.lit(True))
+        rows = _joined(rows, known, keys).withColumn(LARGE, F.coalesce(LARGE, F.lit(False)))
+        return rows.withColumn(SEGMENT, F.when(F.col(LARGE), 1).otherwise(0).cast("bigint"))
 
     by, names = [*keys, SEGMENT], list(axes)
-    rows, points = placed(df), placed(basis).select(*by, *names)
+    rows, points = placed(df), placed(basis).select(*by, LARGE, *names)
     above = depth
     while True:
-        found, n = _pinned(_cuts(points.where(F.col(SEGMENT) > 0), by, names, depth, above), "_many")
+        # Only groups still too large are measured along their axis.
+        large, n = _pinned(_too_large(points.where(LARGE), by, names, above))
         if not n:
             break
-        heads = F.expr(f"transform(sequence(0, size(_cuts) - 1, {STEP}), i -> _cuts[i])")
-        found = found.withColumn("_heads", heads)
+        found, _ = _pinned(_cuts(points.where(LARGE), large, by, names, depth), "_many")
         rows, points = _cut_once(rows, found, by, names), _cut_once(points, found, by, names)
         above = 2 * depth
     return Cut(rows.drop(*names), keys, True, max(1, int(depth)))
