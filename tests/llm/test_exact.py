@@ -62,6 +62,15 @@ def test_pieces_in_one_pass_equal_the_two_steps(odd):
     assert pieces.round_trip(odd.where("false"), model).count() == 0
 
 
+def test_a_pair_of_pieces_is_judged_once(texts, monkeypatch):
+    asked, judge = [], pieces.PieceTable.compatible
+    monkeypatch.setattr(pieces.PieceTable, "compatible", lambda self, a, b: asked.append((a, b)) or judge(self, a, b))
+    encoder = pieces.PieceTable(pieces.read_model(q.tokenizer()))
+    for _, text in texts[:50]:
+        encoder.encode(text or "")
+    assert asked and len(asked) == len(set(asked))
+
+
 def test_pieces_decode_any_ids():
     import sentencepiece
 

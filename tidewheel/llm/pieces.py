@@ -117,13 +117,19 @@ class PieceTable:
     def last_tokens(self, text: str) -> list[tuple[int, int] | None]:
         """For each prefix its last token and that token's length; None: no piece ends there."""
         last: list[tuple[int, int] | None] = [None] * len(text)
+        known, compatible = self.pairs.get, self.compatible
         for end, match in self.automaton.iter(text):
             if last[end] is None:
-                before = end - match[1]
+                right, length = match
+                before = end - length
                 # A character that is no piece stands before: nothing merges with it.
                 left = last[before] if before >= 0 else None
-                if left is None or self.compatible(left[0], match[0]):
+                if left is None:
                     last[end] = match
+                else:
+                    fits = known((left[0], right))
+                    if fits or fits is None and compatible(left[0], right):
+                        last[end] = match
         return last
 
     def word_ids(self, word: str) -> bytes:
@@ -142,20 +148,22 @@ class PieceTable:
 
     def encode(self, text: str) -> bytes:
         """All ids with begin and end, as little-endian unsigned 32-bit numbers."""
-        out = [struct.pack("<I", self.begin)]
-        known = self.known
-        if text:
-            for word in self.words.findall(self.prefix + text.replace(" ", SEPARATOR)):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.word_ids(word)
-                    if len(word) <= LONG_WORD:
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        known[word] = ids
-                out.append(ids)
-        out.append(struct.pack("<I", self.end))
-        return b"".join(out)
+        begin, end, known = struct.pack("<I", self.begin), struct.pack("<I", self.end), self.known
+        if not text:
+            return begin + end
+        words = self.words.findall(self.prefix + text.replace(" ", SEPARATOR))
+        out = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            ids = known.get(word)
+            if ids is None:
+                ids = self.word_ids(word)
+                if len(word) <= LONG_WORD:
+                    if len(known) >= WORDS_KEPT:
+                        known.clear()
+                    known[word] = ids
+            out[i] = ids
+        return b"".join([begin, *out, end])
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; a byte that is no UTF-8 becomes U+FFFD by itself."""
