@@ -192,7 +192,7 @@ def ranges(df: DataFrame, columns: list[str], key: str, depth: int | None = None
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         depth = min(RANGE_ROWS, -(-rows.count() // partitions))
     piece = segments.cut(rows, [], [F.col("_key"), F.col("_tie")], depth=float(max(depth, 1)))
-    return piece.rows if piece.split else rows.withColumn(segments.SEGMENT, F.lit(1).cast("long"))
+    return piece.rows.drop(segments.LARGE) if piece.split else rows.withColumn(segments.SEGMENT, F.lit(1).cast("long"))
 
 
 def with_next(
