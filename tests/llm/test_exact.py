@@ -71,6 +71,33 @@ def test_a_pair_of_pieces_is_judged_once(texts, monkeypatch):
     assert asked and len(asked) == len(set(asked))
 
 
+def test_many_words_at_once_equal_the_library(texts, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=q.tokenizer())
+    rng = random.Random(5)
+    rows = [t or "" for _, t in texts[:200]] + ["", "x" * 500, "aaaa bbbb " * 40] + [
+        "".join(rng.choice("abcdetheé ß漢字😀▁\n\t\x00ĀЖ") for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    whole, alone = [], pieces.PieceTable.word_ids
+    monkeypatch.setattr(pieces.PieceTable, "word_ids", lambda self, w: whole.append(w) or alone(self, w))
+    for kept, together in [(pieces.WORDS_KEPT, pieces.TOGETHER), (50, 5000)]:
+        monkeypatch.setattr(pieces, "WORDS_KEPT", kept)
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        encoder = pieces.PieceTable(pieces.read_model(q.tokenizer()))
+        for x, got in zip(rows, encoder.encode_all(rows), strict=True):
+            ids = library.encode(x, add_bos=True, add_eos=True)
+            assert got == struct.pack(f"<{len(ids)}I", *ids)
+        assert len(encoder.known) <= kept
+        if together == pieces.TOGETHER > 5000:
+            # All in one stretch: only long words and those with characters that are no pieces go one by one.
+            assert whole and all(len(w) > pieces.LONG_WORD or any(c not in encoder.ids for c in w) for w in whole)
+
+
+def test_pieces_are_encoded_and_decoded_in_one_worker(spark, small):
+    plan = q.QUERIES["op4_sentencepiece"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_pieces_decode_any_ids():
     import sentencepiece
 

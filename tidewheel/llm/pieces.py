@@ -9,7 +9,9 @@ left to right, and the ids are read from it backwards.
 
 No token contains a word separator after another character, which is checked
 when a model is loaded; texts are therefore cut before separators, and the
-encodings of frequent words are remembered within a bound.
+encodings of frequent words are remembered within a bound. Where many words of a
+batch are not remembered, the short ones are encoded side by side by the merge rule:
+each step merges the best pair of every word, the leftmost of equals.
 
 Null texts count as empty. An empty text has no tokens but the begin and end
 ids. Equal texts get equal ids; rows are never merged, and an empty table gives
@@ -20,8 +22,11 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
+from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.common import append, utf8
@@ -32,6 +37,12 @@ WORDS_KEPT = 200_000
 PAIRS_KEPT = 500_000
 #: Longer words are encoded each time they occur.
 LONG_WORD = 48
+#: So many words are worth a step of their own over all; they are merged in blocks of this size.
+MANY_WORDS, BLOCK_WORDS = 64, 2048
+#: Texts are encoded together up to so many characters.
+TOGETHER = 1 << 21
+#: The rank of a pair that does not merge.
+NEVER = 1 << 30
 #: A model file beyond this is refused: it is sent to every worker.
 MODEL_BYTES = 64 << 20
 
@@ -78,6 +89,7 @@ class PieceTable:
         # A line feed is no piece in most models; ending a word there keeps words short.
         stop = "" if "\n" in single else "\n"
         self.words = re.compile(f"{SEPARATOR}*[^{SEPARATOR}{stop}]+|{SEPARATOR}+|{stop or SEPARATOR}")
+        self._merges(normal)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -90,6 +102,28 @@ class PieceTable:
             return bytes([int(self.pieces[i][1:-1], 16)])
         return self.pieces[i].replace(SEPARATOR, " ").encode()
 
+    def _merges(self, normal: dict[str, int]) -> None:
+        """Arrays of the pairs that merge, by key: their ranks (by score, equal scores alike) and what they become."""
+        self.none = len(self.pieces)
+        found = [
+            (normal[s[:k]] * (self.none + 1) + normal[s[k:]], self.scores[s], i)
+            for s, i in normal.items() for k in range(1, len(s)) if s[:k] in normal and s[k:] in normal
+        ]
+        found.sort()
+        # The last pair can't occur, so a search always ends at a pair.
+        self.keys = np.array([*[f[0] for f in found], (self.none + 1) ** 2], np.int64)
+        self.ranks = np.append(np.unique([-f[1] for f in found], return_inverse=True)[1], NEVER).astype(np.int64)
+        self.become = np.array([*[f[2] for f in found], 0], np.int64)
+        singles = [(ord(s), i) for s, i in normal.items() if len(s) == 1]
+        self.single = np.full(max([c for c, _ in singles], default=0) + 2, self.none, np.int64)
+        for c, i in singles:
+            self.single[c] = i
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * (self.none + 1) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by the merge rule itself, which judges pairs."""
         symbols = list(text)
@@ -146,24 +180,93 @@ class PieceTable:
         ids.reverse()
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def merged_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of many short words, as :meth:`word_ids` gives them."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        flat = self.single[np.minimum(codes, len(self.single) - 1)]
+        width = int(sizes.max())
+        # One more column stands for what follows the last symbol.
+        ids = np.full((len(words), width + 1), self.none)
+        ids[np.arange(width + 1) < sizes[:, None]] = flat
+        rank = self._ranked(ids[:, :-1], ids[:, 1:])
+        done, left, number = ids.copy(), np.arange(len(words)), sizes.copy()
+        columns = np.arange(width + 1)
+        while True:
+            at = rank.argmin(axis=1)
+            each = np.arange(len(left))
+            going = rank[each, at] < NEVER
+            if not going.all():
+                done[left[~going]] = ids[~going]
+                ids, rank, left, at = ids[going], rank[going], left[going], at[going]
+                each = each[: len(left)]
+            if not len(left):
+                break
+            key = ids[each, at] * (self.none + 1) + ids[each, at + 1]
+            ids[each, at] = self.become[np.searchsorted(self.keys, key)]
+            # What lies behind the pair moves up by one.
+            after = np.minimum(columns + (columns > at[:, None]), width)
+            ids = np.take_along_axis(ids, after, 1)
+            rank = np.take_along_axis(rank, np.minimum(after[:, :-1], width - 1), 1)
+            ids[:, -1], rank[:, -1] = self.none, NEVER
+            number[left] -= 1
+            rank[each, at] = self._ranked(ids[each, at], ids[each, at + 1])
+            more = np.flatnonzero(at)
+            rank[more, at[more] - 1] = self._ranked(ids[more, at[more] - 1], ids[more, at[more]])
+        kept = columns < number[:, None]
+        # A character that is no piece becomes bytes, as the table does it.
+        odd = np.flatnonzero((kept & (done == self.none)).any(axis=1))
+        packed, ends = done[kept].astype("<u4").tobytes(), [0, *(np.cumsum(number) * 4).tolist()]
+        out = [packed[a:b] for a, b in pairwise(ends)]
+        for i in odd.tolist():
+            out[i] = self.word_ids(words[i])
+        return out
+
+    def _learn(self, words: list[str], new: dict[str, bytes]) -> None:
+        """Put the ids of distinct words into ``new``."""
+        words = sorted(words, key=len)
+        short = bisect_right(words, LONG_WORD, key=len)
+        if short < MANY_WORDS:
+            short = 0
+        for at in range(0, short, BLOCK_WORDS):
+            part = words[at : min(at + BLOCK_WORDS, short)]
+            new.update(zip(part, self.merged_ids(part)))
+        for w in words[short:]:
+            new[w] = self.word_ids(w)
+
     def encode(self, text: str) -> bytes:
         """All ids with begin and end, as little-endian unsigned 32-bit numbers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are not remembered are encoded together."""
+        out, at = [], 0
+        while at < len(texts):
+            size, start = 0, at
+            while at < len(texts) and (at == start or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                at += 1
+            out += self._encode_some(texts[start:at])
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
         begin, end, known = struct.pack("<I", self.begin), struct.pack("<I", self.end), self.known
-        if not text:
-            return begin + end
-        words = self.words.findall(self.prefix + text.replace(" ", SEPARATOR))
-        out = list(map(known.get, words))
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            word = words[i]
-            ids = known.get(word)
-            if ids is None:
-                ids = self.word_ids(word)
-                if len(word) <= LONG_WORD:
-                    if len(known) >= WORDS_KEPT:
-                        known.clear()
-                    known[word] = ids
-            out[i] = ids
-        return b"".join([begin, *out, end])
+        cut = [self.words.findall(self.prefix + x.replace(" ", SEPARATOR)) if x else [] for x in texts]
+        new: dict[str, bytes] = {}
+        self._learn([w for w in set().union(*cut) if w not in known], new)
+        if len(known) + len(new) > WORDS_KEPT:
+            # What these texts hold is kept beside the new words.
+            held = {w: known[w] for w in set().union(*cut) if w in known}
+            known.clear()
+            known.update(held)
+        known.update(new)
+        out = [b"".join([begin, *map(known.__getitem__, words), end]) for words in cut]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        return out
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; a byte that is no UTF-8 becomes U+FFFD by itself."""
@@ -206,7 +309,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 
     def make():
         table = PieceTable(sent.value)
-        return lambda texts: [[table.encode(x or "") for x in texts.to_pylist()]]
+        return lambda texts: [table.encode_all([x or "" for x in texts.to_pylist()])]
 
     return append(df, make, [text], f"`{ids}` binary")
 
@@ -233,7 +336,7 @@ def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids",
         table = PieceTable(sent.value)
 
         def both(texts):
-            packed = [table.encode(x or "") for x in texts.to_pylist()]
+            packed = table.encode_all([x or "" for x in texts.to_pylist()])
             return [packed, list(map(table.decode, packed))]
 
         return both
