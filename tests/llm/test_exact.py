@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,61 @@ def test_class_probabilities_sum_to_one_and_beat_single_words(spark, middle):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_words_of_many_texts_equal_those_of_each(texts):
+    rng = random.Random(7)
+    rows = [None, "", " ", "a", "\n a", "a b", "éA\x0bB\x1cc \x85x", "  x", "x", "", "A\r\n漢字"] + [t for _, t in texts[:50]] + [
+        "".join(rng.choice("aBc é\n\t漢") for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    whole = pa.array(rows, pa.string())
+    for column in (whole, whole.slice(3, 200), whole.slice(0, 1), whole.slice(0, 0), pa.array(["", " "])):
+        words, want = brown.Words(column), [brown.tokens((x or "").encode()) for x in column.to_pylist()]
+        assert len(set(words.distinct.to_pylist())) == len(words.distinct)
+        assert words.distinct.take(pa.array(words.place)).to_pylist() == [w for x in want for w in x]
+        assert words.sizes.tolist() == [len(x) for x in want]
+        types = brown.Types([b"a", "é".encode()], 5)
+        for kind, w in zip(types(words.distinct), words.distinct.to_pylist(), strict=True):
+            assert kind == types.of.get(w, 3 + zlib.crc32(w[-3:]) % 5)
+
+
+def test_contexts_are_counted_once_for_each_word(spark, texts):
+    rows = [(t,) for _, t in texts[:40]] * 3 + [(None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    frequent = [b"the", b"of"]
+    model = brown.ClassModel(brown.Types(frequent, 6), np.array([0, 1, 2, 1, 2, 1, 2, 0, 1]), 3)
+    want = {}
+    for (t,) in rows:
+        toks = brown.tokens((t or "").encode())
+        for a, w in zip(model.kind[model.types([brown.END, *toks[:-1]])].tolist(), toks):
+            if w not in model.types.of:
+                want.setdefault(w, Counter())[a] += 1
+    # Small stretches, so that words lie in many rows and across batches.
+    got = brown.context_counts(docs, model, together=3000, rows=1).collect()
+    assert {bytes(r.word): dict(zip(r.contexts, r.times)) for r in got} == want and len(got) == len(want)
+    assert all(r.contexts == sorted(r.contexts) and r.pool == zlib.crc32(bytes(r.word)[-3:]) % 6 and r.half == zlib.crc32(r.word) & 1 for r in got)
+
+
+def test_words_choose_the_best_class_of_their_own_counts():
+    rng = np.random.default_rng(2)
+    model = brown.ClassModel(brown.Types([], 4), np.array([0, 1, 2, 3, 4]), 6)
+    model.cost, model.steps = 0.5, [rng.normal(size=(6, 6)), rng.normal(size=(6, 6))]
+    sizes = [1, 1, 1, 6, 2, 1, 3, 1] * 200
+    contexts = np.concatenate([np.sort(rng.choice(6, n, replace=False)) for n in sizes])
+    times, owner = rng.integers(1, 4, len(contexts)), np.repeat(np.arange(len(sizes)), sizes)
+    pools, half = rng.integers(0, 4, len(sizes)), rng.integers(0, 2, len(sizes))
+    got = model.chosen(pools, half, owner, contexts, times)
+    for i in range(len(sizes)):
+        sums = (model.steps[half[i]][contexts[owner == i]] * times[owner == i, None]).sum(0)
+        old, best = model.kind[1 + pools[i]], 1 + int(np.argmax(sums[1:]))
+        assert got[i] == (best if sums[best] > sums[old] + 0.5 else old)
+
+
+def test_a_round_reads_only_the_half_that_chooses(spark, texts, monkeypatch):
+    docs = spark.createDataFrame(texts[:60], "doc_id bigint, text string")
+    halves, count = [], brown.class_counts
+    monkeypatch.setattr(brown, "class_counts", lambda table, model, half: halves.append(half) or count(table, model, half))
+    brown.fit(brown.word_counts(docs), docs, words=20, pools=5, classes=4, rounds=2)
+    assert halves[:2] == [1, 0] and halves[2:] in ([], [1])
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     pairs = np.zeros((13, 13))

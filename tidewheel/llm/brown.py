@@ -29,17 +29,15 @@ classes are equal and scores remain finite. Columns but key and text are not rea
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import append, prepare, saved, utf8
+from tidewheel.llm.common import append, prepare, saved
 
 #: A line feed is no word, so it can stand for the end.
 END = b"\n"
@@ -51,33 +49,105 @@ COST = 2.0
 HELD = 150_000
 #: Weight of the classes' shares in the transitions, in tokens.
 SMOOTHING = 20.0
-#: Distinct words a task counts before it passes them on, and words that choose at once.
-COUNTED, CHOSEN = 400_000, 4096
+#: Bytes of text whose words a task counts together, rows of the table taken at once, and words that choose at once.
+TOGETHER, ROWS, CHOSEN = 16 << 20, 1 << 15, 512
+
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_SPACE = (_BYTES == 0x20) | (_BYTES >= 0x09) & (_BYTES <= 0x0D)
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+class Words:
+    """The tokens of texts: ``distinct`` words, the end first; each token's ``place`` among them; each text's ``sizes``."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.binary()).fill_null(b"")
+        _, at, data = texts.buffers()
+        cuts = np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[cuts[0] : cuts[-1]]
+        cuts -= cuts[0]
+        word = ~_SPACE[data]
+        # A word begins and ends beside white space or at an edge of its text.
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cuts] = True
+        edge[0] = edge[-1] = True
+        begins = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+        stops = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]])))
+        offsets = np.zeros(len(begins) + 1, np.int32)
+        np.cumsum(stops - begins + 1, out=offsets[1:])
+        listed = pa.Array.from_buffers(
+            pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[word]])]
+        ).dictionary_encode()
+        self.distinct = pa.concat_arrays([pa.array([END], pa.binary()), listed.dictionary])
+        self.sizes = np.diff(np.searchsorted(begins, cuts)) + 1
+        self.place = np.zeros(len(begins) + len(texts), np.int64)
+        inner = np.ones(len(self.place), bool)
+        inner[np.cumsum(self.sizes) - 1] = False
+        self.place[inner] = listed.indices.to_numpy() + 1
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """The value of the token before each, given one a token; an end stands before each text."""
+        return np.concatenate([[0], values[:-1]])
+
+
+def _words(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[Words]:
+    """The first column's texts, each time batches of at least ``together`` bytes, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch.column(0).cast(pa.binary()))
+            size += batch.column(0).nbytes
+        if size >= together:
+            texts, held, size = pa.concat_arrays(held), [], 0
+            yield Words(texts)
+    if held:
+        yield Words(pa.concat_arrays(held))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least so many, but for the last."""
+    held, number = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            number += batch.num_rows
+        if number >= rows:
+            whole, held, number = pa.concat_batches(held), [], 0
+            yield whole
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns in batches; rows with the count 0 are left out, counts come last."""
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    whole = whole.filter(pc.greater(whole.column(len(names) - 1), 0))
+    for at in range(0, len(whole), 1 << 16):
+        yield whole.slice(at, 1 << 16)
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word`` (binary) and ``n`` over all texts, ends included."""
     prepare(docs.sparkSession)
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for x in utf8(batch.column(0)):
-                counts.update(tokens(x))
-            if len(counts) > COUNTED:
-                yield emit(counts)
-                counts = Counter()
-        if counts:
-            yield emit(counts)
+        for words in _words(batches):
+            counts = pa.array(np.bincount(words.place, minlength=len(words.distinct)))
+            yield from _parts([words.distinct, counts], ["word", "n"])
 
     partial = docs.select(text).mapInArrow(run, "word binary, n bigint")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -91,14 +161,27 @@ class Types:
         self.first_pool, self.pools = len(self.of), pools
         self.number = len(self.of) + pools
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        get, first, pools, crc = self.of.get, self.first_pool, self.pools, zlib.crc32
-        out = np.array([get(w, -1) for w in words], np.int64)
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = first + crc(words[i][-3:]) % pools
+    def __call__(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        out = pc.index_in(words, pa.array(self.of, pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self.first_pool + _ending_crc(words.take(pa.array(rest))) % self.pools
         return out
 
 
+def _ending_crc(words: pa.Array) -> np.ndarray:
+    """crc32 of each word's last three bytes, or of as many as it has."""
+    words = pa.concat_arrays([words])
+    _, at, data = words.buffers()
+    ends = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    sizes, crc = np.diff(ends), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(sizes >= back)
+        crc[has] = _CRC[(crc[has] ^ data[ends[1:][has] - back]) & 0xFF] ^ crc[has] >> 8
+    return (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+
+
 def type_bigrams(docs: DataFrame, types: Types, text: str = "text") -> np.ndarray:
     """Counts of neighbouring types over all texts, each text after an end."""
     prepare(docs.sparkSession)
@@ -107,13 +190,9 @@ def type_bigrams(docs: DataFrame, types: Types, text: str = "text") -> np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, sums = sent.value, np.zeros(n * n, np.int64)
-        for batch in batches:
-            pairs = []
-            for x in utf8(batch.column(0)):
-                seq = kinds(tokens(x))
-                pairs.append(np.concatenate([[0], seq[:-1]]) * n + seq)
-            if pairs:
-                sums += np.bincount(np.concatenate(pairs), minlength=n * n)
+        for words in _words(batches):
+            seq = kinds(words.distinct)[words.place]
+            sums += np.bincount(words.before(seq) * n + seq, minlength=n * n)
         seen = np.flatnonzero(sums)
         for at in range(0, len(seen), 1 << 16):
             part = seen[at : at + (1 << 16)]
@@ -215,68 +294,106 @@ class ClassModel:
     ) -> np.ndarray:
         """The classes of words, given their pools and counts (owner, context, times): that of the last round in which each chose."""
         out = self.kind[self.types.first_pool + pools]
+        # Entries lie word by word.
+        sizes, weight = np.bincount(owner, minlength=len(pools)), times.astype(float)
+        starts = np.cumsum(sizes) - sizes
         for part in (0, 1):
             rounds = self.steps[part::2]
             rows = np.flatnonzero(half == part)
             if not rounds or not len(rows):
                 continue
-            value = rounds[-1]
-            place = np.full(len(pools), -1)
-            place[rows] = np.arange(len(rows))
-            mine = place[owner] >= 0
-            # Entries lie word by word, so each word's are summed in one stretch.
-            at, who = np.flatnonzero(mine), place[owner[mine]]
-            for low in range(0, len(rows), CHOSEN):
-                a, b = np.searchsorted(who, [low, low + CHOSEN])
-                n = min(CHOSEN, len(rows) - low)
-                starts = np.searchsorted(who[a:b], np.arange(low, low + n))
-                sums = np.add.reduceat(value[contexts[at[a:b]]] * times[at[a:b], None], starts, axis=0)
-                sums[:, 0] = -np.inf
-                best, old = np.argmax(sums, axis=1), out[rows[low : low + n]]
-                each = np.arange(n)
-                moved = sums[each, best] > sums[each, old] + self.cost
-                out[rows[low : low + n]] = np.where(moved, best, old)
+            size = sizes[rows]
+            # Words with one context choose alike if their counts are.
+            one = rows[size == 1]
+            alike, same = np.unique(times[starts[one]] * self.classes + contexts[starts[one]], return_inverse=True)
+            for at in range(0, len(alike), CHOSEN):
+                key = alike[at : at + CHOSEN]
+                sums = rounds[-1][key % self.classes] * (key // self.classes)[:, None]
+                mine = np.flatnonzero((same >= at) & (same < at + CHOSEN))
+                out[one[mine]] = self._moved(sums, same[mine] - at, out[one[mine]])
+            more = rows[size > 1]
+            more = more[np.argsort(-sizes[more], kind="stable")]
+            for at in range(0, len(more), CHOSEN):
+                mine = more[at : at + CHOSEN]
+                sums = np.zeros((len(mine), self.classes))
+                # Entries are added in their order: first those of all words, then the second ones, and so on.
+                for k in range(sizes[mine[0]]):
+                    entry = starts[mine[: np.searchsorted(-sizes[mine], -k)]] + k
+                    sums[: len(entry)] += rounds[-1][contexts[entry]] * weight[entry, None]
+                out[mine] = self._moved(sums, np.arange(len(mine)), out[mine])
         return out
 
+    def _moved(self, sums: np.ndarray, row: np.ndarray, old: np.ndarray) -> np.ndarray:
+        """The best class by a word's row of sums if it gains more than it costs, else the old one."""
+        sums[:, 0] = -np.inf
+        best = np.argmax(sums, axis=1)[row]
+        return np.where(sums[row, best] > sums[row, old] + self.cost, best, old)
+
+
+def _listed(words: pa.Array, pairs: np.ndarray, n: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """A row for each word with its contexts and their counts, from pairs of a word's place and a context."""
+    found, at = np.unique(pairs // classes, return_index=True)
+    offsets = pa.array(np.append(at, len(pairs)), pa.int32())
+    whole = pa.RecordBatch.from_arrays(
+        [
+            words.take(pa.array(found)),
+            pa.ListArray.from_arrays(offsets, pa.array(pairs % classes, pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+        ],
+        ["word", "contexts", "times"],
+    )
+    for at in range(0, len(whole), 1 << 14):
+        yield whole.slice(at, 1 << 14)
+
 
-def context_counts(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
+def context_counts(
+    docs: DataFrame, model: ClassModel, text: str = "text", together: int = TOGETHER, rows: int = ROWS
+) -> DataFrame:
     """``word``, ``pool``, ``half`` (of the words, by hash), ``contexts`` and ``times`` of all words in pools.
 
     Contexts and times say how often a word stands after each context.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def emit(counts: Counter) -> pa.RecordBatch:
-        words, kinds = zip(*counts.keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "context", "n"]
-        )
+    c = model.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = sent.value, Counter()
-        types, kind = model.types, model.kind
-        for batch in batches:
-            for x in utf8(batch.column(0)):
-                words = tokens(x)
-                seq = types(words)
-                before = kind[np.concatenate([[0], seq[:-1]])]
-                pooled = np.flatnonzero(seq >= types.first_pool)
-                counts.update(zip(itemgetter(*pooled.tolist())(words), before[pooled].tolist()) if len(pooled) > 1 else
-                              [(words[i], int(before[i])) for i in pooled])
-                if len(counts) > COUNTED:
-                    yield emit(counts)
-                    counts = Counter()
-        if counts:
-            yield emit(counts)
-
-    partial = docs.select(text).mapInArrow(run, "word binary, context int, n bigint")
-    # One exchange serves both sums: the tasks have added up their own.
-    per_word = partial.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    listed = per_word.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("held"))
+        model = sent.value
+        types = model.types
+        for words in _words(batches, together):
+            seq = types(words.distinct)
+            before = words.before(model.kind[seq][words.place])
+            pooled = (seq >= types.first_pool)[words.place]
+            pairs, n = np.unique(words.place[pooled] * c + before[pooled], return_counts=True)
+            yield from _listed(words.distinct, pairs, n, c)
+
+    def add_up(part: pa.RecordBatch, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        distinct = part.column(0).take(pa.array(np.flatnonzero(np.diff(codes, prepend=-1))))
+        owner = np.repeat(codes, np.diff(part.column(1).offsets.to_numpy()))
+        pairs, same = np.unique(owner * c + part.column(1).flatten().to_numpy(), return_inverse=True)
+        n = np.bincount(same, part.column(2).flatten().to_numpy()).astype(np.int64)
+        yield from _listed(distinct, pairs, n, c)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for part in _gathered(batches, rows):
+            part = part if rest is None else pa.concat_batches([rest, part])
+            # Rows lie by word, and the last word may go on.
+            codes = part.column(0).dictionary_encode().indices.to_numpy().astype(np.int64)
+            last = int(np.searchsorted(codes, codes[-1]))
+            if last:
+                yield from add_up(part.slice(0, last), codes[:last])
+            rest = part.slice(last)
+        if rest is not None:
+            yield from add_up(rest, np.zeros(len(rest), np.int64))
+
+    # One row of a task's texts for each of their words, so that a word's rows are few.
+    schema = "word binary, contexts array<int>, times array<bigint>"
+    partial = docs.select(text).mapInArrow(run, schema)
+    listed = partial.repartition("word").sortWithinPartitions("word").mapInArrow(merge, schema)
     return listed.select(
         "word", _pool(model.types.pools).alias("pool"), F.crc32("word").bitwiseAND(F.lit(1)).cast("int").alias("half"),
-        F.col("held.context").alias("contexts"), F.col("held.n").alias("times"),
+        "contexts", "times",
     )
 
 
@@ -292,31 +409,31 @@ def _entries(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
     return [pools.to_numpy(), half.to_numpy(), owner, contexts.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()]
 
 
-def class_counts(table: DataFrame, model: ClassModel) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, class) of the table's words in the classes they choose, and the classes' masses."""
+def class_counts(table: DataFrame, model: ClassModel, half: int) -> np.ndarray:
+    """Counts of (context, class) of the words of one half in the classes they choose, then the classes' masses."""
     sent = table.sparkSession.sparkContext.broadcast(model)
     c = model.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sums = sent.value, np.zeros(c * c + c, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                pools, half, owner, contexts, times = _entries(batch, 0)
-                kinds = model.chosen(pools, half, owner, contexts, times)
-                sums[: c * c] += np.bincount(contexts * c + kinds[owner], times, c * c).astype(np.int64)
-                # One more for each word: emissions are add-one.
-                sums[c * c :] += np.bincount(kinds[owner], times, c).astype(np.int64) + np.bincount(kinds, minlength=c)
+        for batch in _gathered(batches):
+            pools, half, owner, contexts, times = _entries(batch, 0)
+            kinds = model.chosen(pools, half, owner, contexts, times)
+            sums[: c * c] += np.bincount(contexts * c + kinds[owner], times, c * c).astype(np.int64)
+            # One more for each word: emissions are add-one.
+            sums[c * c :] += np.bincount(kinds[owner], times, c).astype(np.int64) + np.bincount(kinds, minlength=c)
         seen = np.flatnonzero(sums)
         for at in range(0, len(seen), 1 << 16):
             part = seen[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums[part], pa.int64())], ["at", "n"])
 
     # At most the square of the number of classes, and that number.
-    rows = table.drop("word").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    mine = table.where(F.col("half") == half).drop("word")
+    rows = mine.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
     out = np.zeros(c * c + c)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return out[: c * c].reshape(c, c), out[c * c :]
+    return out
 
 
 def fit(
@@ -345,16 +462,21 @@ def fit(
     begun = mass.copy()
     for r in of_words.groupBy(_pool(pools).alias("pool")).agg(F.sum(F.col("n") + 1).alias("mass")).collect():
         begun[types.first_pool + r["pool"]] += r["mass"]
-    for r in rows:
-        begun[types.first_pool + zlib.crc32(bytes(r["word"])[-3:]) % pools] -= r["n"] + 1
+    for r, crc in zip(rows, _ending_crc(pa.array([bytes(r["word"]) for r in rows], pa.binary()))):
+        begun[types.first_pool + int(crc) % pools] -= r["n"] + 1
     likelihood = model.settle(member.T @ pairs @ member, begun @ member)
     grid, mass = member.T @ pairs[:, own] @ member[own], mass @ member
     table = saved(context_counts(training, model, text), "brown-contexts")
-    for _ in range(rounds):
+    # A round changes the counts of the half that chooses; those of the other half stand.
+    sums = [None, class_counts(table, model, 1) if rounds else None]
+    for r in range(rounds):
         kept = model.step, model.mass
         model.steps.append(model.step - model.mass)
-        more, weight = class_counts(table, model)
-        before, likelihood = likelihood, model.settle(grid + more, mass + weight)
+        sums[r % 2] = class_counts(table, model, r % 2)
+        more = sum(sums)
+        before, likelihood = likelihood, model.settle(
+            grid + more[: classes**2].reshape(classes, classes), mass + more[classes**2 :]
+        )
         if likelihood <= before:
             model.steps.pop()
             model.step, model.mass = kept
@@ -363,12 +485,11 @@ def fit(
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            if batch.num_rows:
-                pools, half, owner, contexts, times = _entries(batch, 1)
-                n = np.bincount(owner, times, batch.num_rows).astype(np.int64)
-                kinds = model.chosen(pools, half, owner, contexts, times)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(kinds, pa.int32())], ["word", "n", "kind"])
+        for batch in _gathered(batches):
+            pools, half, owner, contexts, times = _entries(batch, 1)
+            n = np.bincount(owner, times, batch.num_rows).astype(np.int64)
+            kinds = model.chosen(pools, half, owner, contexts, times)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(kinds, pa.int32())], ["word", "n", "kind"])
 
     placed = [(bytearray(w), int(n), int(model.kind[i])) for i, (w, n) in enumerate([(END, pairs[:, 0].sum()), *[(bytes(r["word"]), r["n"]) for r in rows]])]
     schema = "word binary, n bigint, kind int"
@@ -408,25 +529,31 @@ def score(
         get = at.get
 
         def work(texts):
-            out = [[] for _ in range(7)]
-            for x in utf8(texts):
-                toks = tokens(x)
-                places = np.array([get(w, -1) for w in toks], np.int64)
-                into, after, rest = of[places], context[places], Counter()
-                known = places >= 0
-                others = np.flatnonzero(~known)
-                after[others] = model.kind[model.types([toks[i] for i in others.tolist()])]
-                before = np.concatenate([[0], after[:-1]])
-                for i in others.tolist():
-                    rest[toks[i], int(before[i])] += 1
-                chain = (model.step[before[known], into[known]] - model.mass[into[known]]).sum()
-                row = (
-                    len(toks), int((places >= 0).sum()), float(logs[places].sum()), float(chain),
-                    [w for w, _ in rest], [c for _, c in rest], list(rest.values()),
-                )
-                for column, value in zip(out, row):
-                    column.append(value)
-            return out
+            words = Words(texts)
+            at_word = np.array([get(w, -1) for w in words.distinct.to_pylist()], np.int64)
+            others = np.flatnonzero(at_word < 0)
+            as_context = context[at_word]
+            as_context[others] = model.kind[model.types(words.distinct.take(pa.array(others)))]
+            place, c = words.place, model.classes
+            known, before = at_word[place] >= 0, words.before(as_context[place])
+            into = of[at_word][place[known]]
+            each_log, each_step = logs[at_word][place], model.step[before[known], into] - model.mass[into]
+            # Sums of a text are taken over its own stretch, so that equal texts have equal ones.
+            ends = np.cumsum(words.sizes)
+            met = np.concatenate([[0], np.cumsum(known)])[ends]
+            log_sums = [float(x.sum()) for x in np.split(each_log, ends[:-1])]
+            step_sums = [float(x.sum()) for x in np.split(each_step, met[:-1])]
+            # The words that are joined, with what stands before them, counted for each text.
+            text_of = np.repeat(np.arange(len(texts)), words.sizes)[~known]
+            rest, times = np.unique((text_of * len(at_word) + place[~known]) * c + before[~known], return_counts=True)
+            offsets = pa.array(np.searchsorted(rest // (len(at_word) * c), np.arange(len(texts) + 1)), pa.int32())
+            listed = [
+                words.distinct.take(pa.array(rest // c % len(at_word))), pa.array(rest % c, pa.int32()), pa.array(times, pa.int64())
+            ]
+            return [
+                pa.array(words.sizes, pa.int64()), pa.array(np.diff(met, prepend=0), pa.int64()), log_sums, step_sums,
+                *[pa.ListArray.from_arrays(offsets, x) for x in listed],
+            ]
 
         return work
 
